@@ -83,11 +83,11 @@ def display_number(value, number_format) -> Column:
     fmt = F.coalesce(_col(number_format), F.lit(""))
     percent = fmt.contains("%")
     decimals = format_decimals(F.when(fmt == "", F.lit("0.0")).otherwise(fmt))
-    pattern = F.concat(F.when(fmt.contains(","), "%,.").otherwise("%."), decimals.cast("string"), F.lit("f"))
 
     def shown(number):
-        scaled = F.when(percent, number * 100).otherwise(number)
-        text = _swap_separators(F.call_function("format_string", pattern, scaled))
+        # format_number rounds the exact binary value half-even
+        text = F.call_function("format_number", F.when(percent, number * 100).otherwise(number), decimals)
+        text = _swap_separators(F.when(fmt.contains(","), text).otherwise(F.replace(text, F.lit(","), F.lit(""))))
         return F.when(number.isNull(), raw).otherwise(F.concat(text, F.when(percent, "%").otherwise("")))
 
     return let(parse_number(raw), shown)

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("scalars",)
+MODULES = ("scalars", "matching")
 
 
 def load():

@@ -166,6 +166,12 @@ ROLES: dict[str, str] = {
                  ELSE (i % 20 + 1) || '-' || (i % 10 + 1) END AS raw
         FROM (SELECT o_orderkey, o_orderpriority, CAST(floor(o_totalprice) AS BIGINT) AS i,
                      lpad(CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 100 AS STRING), 2, '0') AS d FROM {orders}) o""",
+    # answer labels, some of them covered by the domain rules
+    "phrase": """
+        SELECT p_partkey AS k, CASE p_partkey % 11 WHEN 0 THEN 'Auto consumo' WHEN 1 THEN 'Uso próprio' WHEN 2 THEN 'Não compro ' || p_name
+                 WHEN 3 THEN 'Não tem auto consumo' WHEN 4 THEN 'Até 25% ' || p_type WHEN 5 THEN 'até 25' WHEN 6 THEN 'Entre 26-50%' WHEN 7 THEN 'Mais de 75% +'
+                 WHEN 8 THEN p_type || ' ' || p_name WHEN 9 THEN 'Compro para uso próprio' ELSE p_name || ' ' || p_brand END AS label
+        FROM {part}""",
     # named regions of the sheets
     "named_region": """
         SELECT k, table_id, 'Sales' || k AS region_name, CAST(3 + k % 2 AS INT) AS r0, CAST(k % 3 AS INT) AS c0,
@@ -327,17 +333,23 @@ class Roles:
         cols = self.role("tgt_col").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("c"))
         empty = F.array().cast("array<string>")
         width = self.role("tgt_cell").groupBy("target_id").agg((F.max("col_ix") + 1).alias("table_width"))
+        read = F.col("row_ix") < 4
+        texts = (
+            self.role("tgt_cell").where(read & (F.col("col_ix") < 8)).groupBy("target_id")
+            .agg(F.array_sort(F.collect_list(F.struct("row_ix", "col_ix", "text"))).alias("g"))
+            .select("target_id", F.col("g.text").alias("cell_texts"))
+        )
         is_chart = F.col("object_type") == "chart"
         r = F.coalesce(F.col("r.label"), empty)
         c = F.coalesce(F.col("c.label"), empty)
         return (
-            self.role("tgt_head").join(rows, "k", "left").join(cols, "k", "left").join(width, "target_id", "left")
+            self.role("tgt_head").join(rows, "k", "left").join(cols, "k", "left").join(width, "target_id", "left").join(texts, "target_id", "left")
             .select(
                 "k", "target_id", "block_id", "target_ix", "object_type", "shape_name", "shape_id", "orientation",
                 F.when(~is_chart, empty).when(F.col("k") % 3 == 1, r).otherwise(c).alias("categories"),
                 F.when(~is_chart, empty).when(F.col("k") % 3 == 1, c).otherwise(r).alias("series"),
                 "nearby_text", "title", F.coalesce("table_width", F.lit(0)).alias("table_width"),
-                "left_in", "top_in", "width_in", "height_in",
+                "left_in", "top_in", "width_in", "height_in", F.coalesce("cell_texts", empty).alias("cell_texts"),
             )
         )
 
@@ -353,10 +365,12 @@ ROLES["target"] = """
         SELECT h.k, h.target_id, h.block_id, h.target_ix, h.object_type, h.shape_name, h.shape_id, h.orientation,
                CASE WHEN h.object_type <> 'chart' THEN [] WHEN h.k % 3 = 1 THEN coalesce(r.l, []) ELSE coalesce(c.l, []) END AS categories,
                CASE WHEN h.object_type <> 'chart' THEN [] WHEN h.k % 3 = 1 THEN coalesce(c.l, []) ELSE coalesce(r.l, []) END AS series,
-               h.nearby_text, h.title, coalesce(w.table_width, 0) AS table_width, h.left_in, h.top_in, h.width_in, h.height_in
+               h.nearby_text, h.title, coalesce(w.table_width, 0) AS table_width, h.left_in, h.top_in, h.width_in, h.height_in,
+               coalesce(x.l, []) AS cell_texts
         FROM tgt_head h LEFT JOIN (SELECT k, list(label ORDER BY pos, label) AS l FROM tgt_row GROUP BY k) r ON r.k = h.k
         LEFT JOIN (SELECT k, list(label ORDER BY pos, label) AS l FROM tgt_col GROUP BY k) c ON c.k = h.k
-        LEFT JOIN (SELECT target_id, max(col_ix) + 1 AS table_width FROM tgt_cell GROUP BY target_id) w ON w.target_id = h.target_id"""
+        LEFT JOIN (SELECT target_id, max(col_ix) + 1 AS table_width FROM tgt_cell GROUP BY target_id) w ON w.target_id = h.target_id
+        LEFT JOIN (SELECT target_id, list(text ORDER BY row_ix, col_ix) AS l FROM tgt_cell WHERE row_ix < 4 AND col_ix < 8 GROUP BY target_id) x ON x.target_id = h.target_id"""
 _ORDER.extend(["source_table", "target"])
 
 

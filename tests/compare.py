@@ -77,8 +77,9 @@ def check(spark, con, name, fn, sql, sf_dir):
     odd = {c: (spark_types[c], types[c]) for c in columns if spark_types[c] != types[c]}
     want = rows_of(columns, cur.fetchall())
     if got != want:
-        extra = [r for r in got if r not in set(want)][:3]
-        lost = [r for r in want if r not in set(got)][:3]
+        have, need = set(got), set(want)
+        extra = [r for r in got if r not in need][:3]
+        lost = [r for r in want if r not in have][:3]
         return f"{len(got)} rows vs {len(want)}; only spark {extra}; only sql {lost}; columns {sorted(columns)}"
     if not got:
         return "no rows"
