@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("scalars", "matching")
+MODULES = ("scalars", "matching", "joining")
 
 
 def load():
