@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("scalars", "matching", "joining")
+MODULES = ("scalars", "matching", "joining", "reporting", "grids", "alignments")
 
 
 def load():

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.scores import coverage, jaccard, soft_score
 from ..functions.text import norm_label
 from ..operators import assignment, candidates, similarity
-from ..session import cut_lineage
 from .registry import query
 from .roles import norm_sql, overlap_sql, soft_sql
 
@@ -98,15 +97,10 @@ def candidate_edges(r):
 
 # --- ranking and assignment -------------------------------------------------------------
 
-_KEPT: dict = {}
-
 
 def edges_of(r):
     """The edges of one scale, written once per session and used by many queries."""
-    key = (r.spark.sparkContext.applicationId, r.dir)
-    if key not in _KEPT:
-        _KEPT[key] = cut_lineage(candidates.candidate_edges(r.targets(), r.source_tables()), "edges")
-    return _KEPT[key]
+    return r.kept("edges", lambda: candidates.candidate_edges(r.targets(), r.source_tables()))
 
 
 @query("composite_score", f"""

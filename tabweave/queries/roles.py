@@ -13,6 +13,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -286,6 +288,9 @@ def duck_sql(body: str) -> str:
     return re.sub(r"\{(\w+)\}", lambda m: m.group(1) if m.group(1) in TABLES else m.group(0), out)
 
 
+_KEPT: dict[tuple, DataFrame] = {}
+
+
 class Roles:
     """The given tables of one scale, and the roles derived from them."""
 
@@ -312,10 +317,24 @@ class Roles:
         text = re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{self.dir}/{m.group(1)}.parquet`", text)
         return self.spark.sql(text)
 
+    def kept(self, name: str, build) -> DataFrame:
+        """A table many queries start from, written once per session and scale."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _KEPT:
+            _KEPT[key] = cut_lineage(build(), name)
+        return _KEPT[key]
+
     # --- roles with arrays -------------------------------------------------
 
     def source_tables(self) -> DataFrame:
         """tables: one row per sheet with its two axes as arrays."""
+        return self.kept("source_table", self._source_tables)
+
+    def targets(self) -> DataFrame:
+        """targets: one row per contract with its expected axes as arrays."""
+        return self.kept("target", self._targets)
+
+    def _source_tables(self) -> DataFrame:
         rows = self.role("src_row").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("ix", "label"))).alias("r"))
         cols = self.role("src_col").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("ix", "label"))).alias("c"))
         return (
@@ -327,8 +346,7 @@ class Roles:
             )
         )
 
-    def targets(self) -> DataFrame:
-        """targets: one row per contract with its expected axes as arrays."""
+    def _targets(self) -> DataFrame:
         rows = self.role("tgt_row").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("r"))
         cols = self.role("tgt_col").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("c"))
         empty = F.array().cast("array<string>")
