@@ -56,7 +56,7 @@ def label_map(labels, choices) -> Column:
 
 def mapped(map_, label) -> Column:
     """Choice of a label; the last entry counts when a label occurs twice."""
-    return F.element_at(F.filter(_c(map_), lambda m: m["label"] == label), -1)["choice"]
+    return F.try_element_at(F.filter(_c(map_), lambda m: m["label"] == label), F.lit(-1))["choice"]
 
 
 def axis_mode(rows, cols, source_rows, source_cols, forced=None) -> Column:
@@ -88,7 +88,7 @@ def source_order(labels, map_, source_labels) -> Column:
 def grow_axis(labels, map_, source_labels) -> Column:
     """Source labels in order, each under the contract's own name when it has one,
     then the contract's remaining labels."""
-    own = lambda s: F.coalesce(F.element_at(F.filter(_c(map_), lambda m: (norm_label(m["choice"]) == norm_label(s)) & (norm_label(s) != "")), -1)["label"], s)
+    own = lambda s: F.coalesce(F.try_element_at(F.filter(_c(map_), lambda m: (norm_label(m["choice"]) == norm_label(s)) & (norm_label(s) != "")), F.lit(-1))["label"], s)
     everything = F.concat(F.transform(_c(source_labels), own), _c(labels))
     keyed = F.filter(F.transform(everything, lambda v: F.struct(norm_label(v).alias("n"), v.alias("v"))), lambda s: s["n"] != "")
     return let(keyed, lambda ks: F.transform(
