@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("scalars", "matching", "joining", "reporting", "grids", "alignments")
+MODULES = ("scalars", "matching", "joining", "reporting", "grids", "alignments", "streams")
 
 
 def load():
