@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import is_meaningful_format, let
-from ..functions.scores import coverage, soft_score
+from ..functions.scores import prepared, prepared_coverage, prepared_score
 from ..functions.text import norm_label, series_key
 
 SERIES_ROWS = "series_rows_categories_columns"
@@ -27,31 +27,25 @@ def normed(labels) -> Column:
     return F.transform(_c(labels), lambda v: norm_label(v))
 
 
-def label_map(labels, choices) -> Column:
+def label_map(labels, keys, choices, choice_keys) -> Column:
     """array<struct<label, choice>>: in label order the best choice not used yet;
-    the best one again when all are used.  Ties go to the earlier choice."""
-    choices = _c(choices)
-    options = F.transform(choices, lambda c, i: F.struct(norm_label(c).alias("n"), c.alias("c"), i.alias("i")))
+    the best one again when all are used.  Ties go to the earlier choice.
 
-    def build(opts):
-        def step(acc, label):
-            def scored(key):
-                ranked = F.transform(opts, lambda o: F.struct((-soft_score(key, o["n"])).alias("s"), o["i"].alias("i"), o["n"].alias("n"), o["c"].alias("c")))
+    ``keys`` and ``choice_keys`` are the prepared labels of both sides."""
+    options = F.zip_with(_c(choice_keys), _c(choices), lambda k, c: F.struct(k.alias("k"), c.alias("c")))
+    entries = F.zip_with(_c(keys), _c(labels), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+    ranked = F.transform(entries, lambda e: F.struct(e["v"].alias("label"), F.array_sort(F.transform(options, lambda o, i: F.struct(
+        (-prepared_score(e["k"], o["k"])).alias("s"), i.alias("i"), o["k"]["n"].alias("n"), o["c"].alias("c")))).alias("opts")))
 
-                def choose(all_):
-                    free = F.array_min(F.filter(all_, lambda o: ~F.array_contains(acc["used"], o["n"])))
-                    return F.coalesce(free, F.array_min(all_))
+    def step(acc, entry):
+        free = F.get(F.filter(entry["opts"], lambda o: ~F.array_contains(acc["used"], o["n"])), F.lit(0))
+        pick = F.coalesce(free, F.get(entry["opts"], F.lit(0)))
+        return let(pick, lambda p: F.struct(
+            F.when(p.isNull(), acc["used"]).otherwise(F.array_append(acc["used"], p["n"])).alias("used"),
+            F.array_append(acc["out"], F.struct(entry["label"].alias("label"), p["c"].alias("choice"))).alias("out")))
 
-                return let(ranked, choose)
-
-            return let(let(norm_label(label), scored), lambda pick: F.struct(
-                F.when(pick.isNull(), acc["used"]).otherwise(F.array_append(acc["used"], pick["n"])).alias("used"),
-                F.array_append(acc["out"], F.struct(label.alias("label"), pick["c"].alias("choice"))).alias("out")))
-
-        empty = F.from_json(F.lit('{"used": [], "out": []}'), _LABEL_MAP)
-        return F.aggregate(_c(labels), empty, step)["out"]
-
-    return let(options, build)
+    empty = F.from_json(F.lit('{"used": [], "out": []}'), _LABEL_MAP)
+    return F.aggregate(ranked, empty, step)["out"]
 
 
 def mapped(map_, label) -> Column:
@@ -59,16 +53,14 @@ def mapped(map_, label) -> Column:
     return F.try_element_at(F.filter(_c(map_), lambda m: m["label"] == label), F.lit(-1))["choice"]
 
 
-def axis_mode(rows, cols, source_rows, source_cols, forced=None) -> Column:
-    """'cross' when the crossed axes cover strictly more, unless forced."""
-    tr, tc, sr, sc = (normed(x) for x in (rows, cols, source_rows, source_cols))
-    same = coverage(tr, sr) + coverage(tc, sc)
-    cross = coverage(tr, sc) + coverage(tc, sr)
-    auto = F.when(cross > same, "cross").otherwise("same")
-    if forced is None:
-        return auto
-    f = _c(forced)
-    return F.when(f == "transpor", "cross").when(f == "manter", "same").otherwise(auto)
+def axis_mode(rows, cols, source_rows, source_cols, forced: str | None = None) -> Column:
+    """'cross' when the crossed axes cover strictly more, unless forced.  All four
+    are prepared labels."""
+    if forced in ("transpor", "manter"):
+        return F.lit("cross" if forced == "transpor" else "same")
+    same = prepared_coverage(rows, source_rows) + prepared_coverage(cols, source_cols)
+    cross = prepared_coverage(rows, source_cols) + prepared_coverage(cols, source_rows)
+    return F.when(cross > same, "cross").otherwise("same")
 
 
 def source_order(labels, map_, source_labels) -> Column:
@@ -136,11 +128,17 @@ def align(pairs: DataFrame, forced: str | None = None) -> DataFrame:
     ``pairs`` holds one row per contract with orientation, categories, series and
     source_orientation, source_categories, source_series, allow_growth."""
     df = target_axes(source_axes(pairs))
-    df = df.withColumn("mode", axis_mode("rows", "cols", "source_rows", "source_cols", forced))
+    sides = ("rows", "cols", "source_rows", "source_cols")
+    df = df.select("*", *[prepared(normed(c)).alias(f"_{c}") for c in sides])
+    df = df.withColumn("mode", axis_mode(*[f"_{c}" for c in sides], forced))
     cross = F.col("mode") == "cross"
-    df = df.withColumn("row_source", F.when(cross, F.col("source_cols")).otherwise(F.col("source_rows"))).withColumn(
-        "col_source", F.when(cross, F.col("source_rows")).otherwise(F.col("source_cols")))
-    df = df.withColumn("row_map", label_map("rows", "row_source")).withColumn("col_map", label_map("cols", "col_source"))
+    turned = lambda a, b: F.when(cross, F.col(b)).otherwise(F.col(a))
+    df = df.select(
+        "*", turned("source_rows", "source_cols").alias("row_source"), turned("source_cols", "source_rows").alias("col_source"),
+        turned("_source_rows", "_source_cols").alias("_row_source"), turned("_source_cols", "_source_rows").alias("_col_source"))
+    df = df.select(
+        "*", label_map("rows", "_rows", "row_source", "_row_source").alias("row_map"), label_map("cols", "_cols", "col_source", "_col_source").alias("col_map"),
+    ).drop(*[f"_{c}" for c in sides], "_row_source", "_col_source")
     df = df.withColumn("rows", source_order("rows", "row_map", "row_source")).withColumn("cols", source_order("cols", "col_map", "col_source"))
     series_rows = F.col("orientation") == SERIES_ROWS
     return df.withColumn("rows", F.when(F.col("allow_growth") & ~series_rows, grow_axis("rows", "row_map", "row_source")).otherwise(F.col("rows"))).withColumn(
