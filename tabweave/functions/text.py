@@ -19,7 +19,8 @@ def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
     for code in [*range(0xA0, 0x2C80), *range(0xFF01, 0xFF5F)]:
         char = chr(code)
         plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if plain == char or not plain.isascii() or not any(c.isalnum() for c in plain):
+        plain = "".join(c if c.isascii() else " " for c in plain)
+        if plain == char or not any(c.isalnum() for c in plain):
             continue
         if len(plain) == 1:
             source.append(char)
