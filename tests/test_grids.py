@@ -5,6 +5,7 @@ from conftest import grid_cells
 from pyspark.sql import functions as F
 
 from tabweave.operators import alignment, grid
+from tabweave.session import cut_lineage
 
 
 def test_table_blocks(spark):
@@ -51,7 +52,7 @@ def filled(spark, orientation, categories, series, source, matrix, growth=False)
     kind, s_categories, s_series = source
     pair = spark.createDataFrame([("t", "s", orientation, categories, series, kind, s_categories, s_series, growth)], PAIR)
     values = spark.createDataFrame([("s", i, j, float(v)) for i, row in enumerate(matrix) for j, v in enumerate(row)], "table_id string, row_ix int, col_ix int, num double")
-    aligned = alignment.align(pair)
+    aligned = cut_lineage(alignment.align(pair))
     cells = alignment.dense_fill(aligned, values).orderBy("row_ix", "col_ix").collect()
     rows = list(dict.fromkeys((c["row_ix"], c["row_label"]) for c in cells))
     cols = list(dict.fromkeys((c["col_ix"], c["col_label"]) for c in cells))
