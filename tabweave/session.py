@@ -1,17 +1,15 @@
-"""Session settings and the two helpers that depend on the cluster: where a
-lineage cut is written, and when a side is small enough to broadcast."""
+"""Session settings and the helpers that depend on the cluster: where a lineage
+cut is written, and how the package reaches the executors."""
 
 from __future__ import annotations
 
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A side is broadcast on request only when it has at most this many rows.
-BROADCAST_ROWS = 100_000
 
 
 def build_session(app: str = "tabweave", master: str | None = None, **conf) -> SparkSession:
@@ -35,7 +33,23 @@ def build_session(app: str = "tabweave", master: str | None = None, **conf) -> S
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once a session: their Python workers import it by name."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tabweave_shipped", False):
+        return
+    home = pathlib.Path(__file__).resolve().parent
+    name = pathlib.Path(tempfile.mkdtemp(prefix="tabweave-package-")) / "tabweave.zip"
+    with zipfile.ZipFile(name, "w") as package:
+        for file in sorted(home.rglob("*.py")):
+            package.write(file, file.relative_to(home.parent))
+    sc.addPyFile(str(name))
+    sc._tabweave_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -64,11 +78,3 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/tabweave-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting at most ``rows`` rows; otherwise the
-    join keeps its shuffle plan.  The count reads no more than ``rows + 1`` rows."""
-    if df.limit(rows + 1).count() <= rows:
-        return F.broadcast(df)
-    return df
