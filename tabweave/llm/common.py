@@ -83,6 +83,30 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable], fields: str, keep:
     return rows.mapInArrow(run, schema)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups and the groups' bounds in them, from batches sorted by their first ``keys`` columns (longs)."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        new = np.zeros(held.num_rows, bool)
+        for i in range(keys):
+            column = held.column(i).to_numpy()
+            new[1:] |= column[1:] != column[:-1]
+        cut = np.flatnonzero(new)
+        if len(cut):
+            yield held.slice(0, cut[-1]), np.concatenate([[0], cut])
+            held = held.slice(cut[-1])
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
+
+
+def pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
 # --------------------------------------------------------------------- words
 
 def mix(x: np.ndarray) -> np.ndarray:

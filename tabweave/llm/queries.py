@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, packing, secrets, sharding
+from . import common, decontamination, near_duplicates, packing, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,10 +62,20 @@ def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op7_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return near_duplicates.near_duplicates(common.table(spark, sf_dir, "documents"), 85)
+
+
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
 @query
 def op9_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
     found = secrets.find_secrets(common.table(spark, sf_dir, "documents"), ["doc_id"])
     listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["first"].cast("string"), s["past"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return found.select("doc.doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
