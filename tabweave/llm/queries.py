@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, near_duplicates, packing, secrets, sharding
+from . import common, decontamination, near_duplicates, packing, repeats, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,6 +68,14 @@ def op7_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(common.table(spark, sf_dir, "documents"), 85)
 
 
+@query
+def op8_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that repeat earlier ones."""
+    out = repeats.without_repeats(common.table(spark, sf_dir, "documents"), 100)
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + (s["past"] - s["first"]))
+    return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def _of_kind(kind: str):
     return lambda span: span["kind"] == kind
 
