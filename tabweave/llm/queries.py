@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, near_duplicates, packing, repeats, secrets, sharding
+from . import common, decontamination, near_duplicates, neighbours, packing, repeats, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,3 +87,9 @@ def op9_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["first"].cast("string"), s["past"].cast("string"))), ",")
     counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return found.select("doc.doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+
+
+@query
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.9."""
+    return neighbours.near_vectors(common.table(spark, sf_dir, "embeddings"), 0.9)
