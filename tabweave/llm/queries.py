@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, near_duplicates, neighbours, packing, repeats, secrets, sharding
+from . import common, decontamination, languages, near_duplicates, neighbours, ngrams, packing, quality, repeats, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,6 +55,22 @@ def op2_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(common.table(spark, sf_dir, "documents"), packing.default_tokenizer(), 1024)
 
 
+@query
+def op3_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents."""
+    docs = common.table(spark, sf_dir, "documents")
+    found = languages.predict(docs, languages.train(languages.training_rows(docs)), ["doc_id"])
+    return found.select("doc.doc_id", (ngrams.id_text_crc(F.col("doc.doc_id")) % 3 == 1).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
+@query
+def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all documents."""
+    docs = common.table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.train(quality.training_rows(docs, common.table(spark, sf_dir, "labels"))), ["doc_id"])
+    return found.select("doc.doc_id", (ngrams.id_text_crc(F.col("doc.doc_id")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 contiguous shards of near equal bytes."""
