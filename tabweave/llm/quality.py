@@ -59,11 +59,14 @@ def fit(texts: pa.Array, labels: np.ndarray, classes: int) -> tuple[np.ndarray,
     return vectors, out, bias
 
 
-def train(rows: DataFrame, limit: int = TRAIN_ROWS) -> dict:
-    """A model from rows (id, text, label): class log-odds of each bucket against label 0.  At most ``limit`` texts are learned from, in one
-    task, equally many of each label; the labels' own frequencies, over all rows, are added to the biases."""
-    prepare(rows.sparkSession)
-    sample, counts = bounded_sample(rows.where("label is not null"), "label", limit)
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> dict:
+    """A model from labels (id, label) and the texts of ``docs``: log-odds of each class for each bucket.  At most ``limit`` labels, about
+    equally many of each kind, are drawn first, so their list is bounded and sent to the texts; one task learns from these texts.  The labels' own
+    frequencies, over all of them, are added to the biases.  Of several texts of an id the largest is learned from."""
+    prepare(docs.sparkSession)
+    drawn, counts = bounded_sample(labels.where("label is not null"), "label", limit)
+    sample = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).join(F.broadcast(drawn), "id")
+    sample = sample.groupBy("id", "label").agg(F.max("text").alias("text"))
     names = [c[0] for c in counts]
     prior = np.array([c[1] for c in counts], float)
     if len(names) < 2:
@@ -115,7 +118,7 @@ def score(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text",
     return map_texts(docs, make, "score double", keep, text_col)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", folds: int = 5, held_out: int = 0, label_col: str = "quality") -> DataFrame:
-    """(id, text, label) of labelled rows that may be learned from; of several labels of an id the largest holds."""
-    known = labels.where(id_text_crc(named(id_col)) % folds != held_out).groupBy(named(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    return docs.select(named(id_col).alias("id"), "text").join(known, "id")
+def training_labels(labels: DataFrame, id_col: str = "doc_id", folds: int = 5, held_out: int = 0, label_col: str = "quality") -> DataFrame:
+    """(id, label) of the rows that may be learned from: the checksum of the id is not in the fold held out.  Of several labels of an id the largest holds."""
+    known = labels.where(id_text_crc(named(id_col)) % folds != held_out)
+    return known.groupBy(named(id_col).alias("id")).agg(F.max(named(label_col)).cast("int").alias("label"))

@@ -67,7 +67,7 @@ def op3_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of all documents."""
     docs = common.table(spark, sf_dir, "documents")
-    found = quality.score(docs, quality.train(quality.training_rows(docs, common.table(spark, sf_dir, "labels"))), ["doc_id"])
+    found = quality.score(docs, quality.train(docs, quality.training_labels(common.table(spark, sf_dir, "labels"))), ["doc_id"])
     return found.select("doc.doc_id", (ngrams.id_text_crc(F.col("doc.doc_id")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

@@ -51,11 +51,11 @@ def test_quality_odd_rows(spark):
     rows = [(i, "plain words in a row" if i % 2 else "JUNK!! JUNK!! JUNK!!", i % 2) for i in range(60)]
     docs = spark.createDataFrame([(i, t, "x", 1.0) for i, t, _ in rows] + [(1, "plain words in a row", None, None), (None, None, None, None)], "doc_id long, text string, doc string, score double")
     labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows] + [(1, 0, 0), (2, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    model = quality.train(quality.training_rows(docs, labels))
+    model = quality.train(docs, quality.training_labels(labels))
     asked = spark.createDataFrame([(1, "plain row"), (2, "JUNK!!"), (3, None), (4, ""), (1, "plain row"), (5, "JUNK!! " * 50_000)], "doc_id long, text string")
     found = {r.doc.doc_id: r.score for r in quality.score(asked, model, ["doc_id"]).collect()}
     assert found[1] > 0.5 > found[2] and found[3] == found[4] and found[5] < 0.5 and all(0 <= s <= 1 for s in found.values())
-    none = quality.train(quality.training_rows(docs, labels.limit(0)))
+    none = quality.train(docs, quality.training_labels(labels.limit(0)))
     assert {r.score for r in quality.score(asked, none, ["doc_id"]).collect()} == {0.5}
     assert quality.score(asked.limit(0), model, ["doc_id"]).count() == 0
 
