@@ -26,7 +26,7 @@ def _columns(df: DataFrame, columns: list[str], **changed) -> DataFrame:
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labelled ones outside the fold held out.  Null and empty texts
     get the labels' own frequency, so they stay where good labels prevail."""
-    model = quality.train(quality.training_rows(docs, common.table(spark, sf_dir, "labels")))
+    model = quality.train(docs, quality.training_labels(common.table(spark, sf_dir, "labels")))
     return _columns(quality.score(docs, model, docs.columns).where(F.col("score") >= ACCEPTED), docs.columns)
 
 
