@@ -52,9 +52,9 @@ def nps(promoters, detractors) -> Column:
     return (p - d) * 100
 
 
-def duplicate_keys(df: DataFrame, key: str, top: int = 12) -> DataFrame:
-    """The first ``top`` keys that occur more than once."""
-    return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").orderBy(key).limit(top)
+def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
+    """All keys that occur more than once."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def sheets_per_file(tables: DataFrame, top: int = 6) -> DataFrame:

@@ -47,10 +47,12 @@ def valid_suggestions(suggestions: DataFrame, targets: DataFrame, tables: DataFr
 
 def scope_to_tenant(df: DataFrame, users: DataFrame, email: str, tenant: str = "tenant") -> DataFrame:
     """Rows the user may see: their tenant's, or all for an administrator.
-    Unknown, inactive or tenantless users see nothing."""
+    Unknown, inactive or tenantless users see nothing, and so does an e-mail that is
+    active under several tenants or roles: it doesn't say which of them it is."""
     user = users.where((F.lower("email") == email.strip().lower()) & F.col("active")).select(
         F.col("tenant").alias("_tenant"), F.coalesce(F.col("role") == "admin", F.lit(False)).alias("_admin")
-    ).limit(1)
+    ).distinct()
+    user = user.groupBy().agg(F.count("*").alias("_n"), F.first("_tenant").alias("_tenant"), F.first("_admin").alias("_admin")).where("_n = 1").drop("_n")
     known = df.where(F.col(tenant).isNotNull())
     allowed = known.join(F.broadcast(user), F.col("_admin") | (F.col(tenant) == F.col("_tenant")), "left_semi")
     return allowed

@@ -16,8 +16,8 @@ from ..functions.numbers import parse_number
 from ..functions.text import cell_text, norm_label
 from .joins import first_by
 
-# How far a header is looked for, and what it is scored by.
-HEADER_ROWS, LOOK_AHEAD, METADATA_ROWS, PERIOD_SHARE = 200, 4, 20, 0.45
+# How many rows below a header are scored, and the share of periods that makes an axis.
+LOOK_AHEAD, PERIOD_SHARE = 4, 0.45
 METADATA_ALIASES = {
     "GRAPH ID": "graph_id", "GRAPHID": "graph_id", "ID GRAFICO": "graph_id", "PPT TAG": "ppt_tag", "TAG PPT": "ppt_tag",
     "VARIAVEL": "variable", "VAR ANALISE": "variable",
@@ -59,11 +59,12 @@ def table_blocks(cells: DataFrame, key: str = "table_id") -> DataFrame:
 
 
 def header_row(cells: DataFrame) -> DataFrame:
-    """(table_id, header_row, start_col, end_col, score) of the best header: many
-    header cells, data in the next four rows of its columns, few numbers in it."""
-    t = typed(cells.where(F.col("row_ix") < HEADER_ROWS + LOOK_AHEAD))
+    """(table_id, header_row, start_col, end_col, score) of the best header of the
+    whole sheet: many header cells, data in the next four rows of its columns, few
+    numbers in it."""
+    t = typed(cells)
     is_header = is_period("norm") | F.col("number").isNull()
-    rows = t.where(F.col("row_ix") < HEADER_ROWS).groupBy("table_id", "row_ix").agg(
+    rows = t.groupBy("table_id", "row_ix").agg(
         F.count_if(is_header).alias("n_header"), F.min(F.when(is_header, F.col("col_ix"))).alias("first"), F.max(F.when(is_header, F.col("col_ix"))).alias("end_col"),
         F.min(F.when(is_header & (F.col("col_ix") > 0), F.col("col_ix"))).alias("second"), F.max((F.col("col_ix") == 0) & is_period("norm")).alias("period_first"))
     shifted = (F.col("first") == 0) & ~F.col("period_first")
@@ -153,11 +154,10 @@ def key_value(cells: DataFrame) -> DataFrame:
 
 
 def metadata_pairs(cells: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """(table_id, key, value) written as 'KEY: value' or as neighbouring cells in
-    the first rows; the last one wins."""
+    """(table_id, key, value) written as 'KEY: value' or as neighbouring cells
+    anywhere in the sheet; the last one wins."""
     aliases = aliases or METADATA_ALIASES
-    head = cells.where(F.col("row_ix") < METADATA_ROWS)
-    t = typed(head).select("table_id", "row_ix", "col_ix", "text")
+    t = typed(cells).select("table_id", "row_ix", "col_ix", "text")
     right = t.select("table_id", "row_ix", (F.col("col_ix") - 1).alias("col_ix"), F.col("text").alias("next"))
     colon = F.col("text").contains(":")
     key_text = F.when(colon, F.trim(F.regexp_extract("text", "^([^:]*):", 1))).otherwise(F.col("text"))

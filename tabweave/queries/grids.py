@@ -17,7 +17,7 @@ TRIMMED_SQL = f"""
            FROM (SELECT *, CASE WHEN num = floor(num) THEN CAST(CAST(num AS BIGINT) AS VARCHAR) ELSE coalesce(trim(raw), CAST(num AS VARCHAR)) END AS text FROM tc) x WHERE text <> '')"""
 HEADER_SQL = f"""{TRIMMED_SQL},
     hc AS (SELECT table_id, row_ix, count(*) FILTER (hdr) AS n, min(col_ix) FILTER (hdr) AS f, max(col_ix) FILTER (hdr) AS e, min(col_ix) FILTER (hdr AND col_ix > 0) AS s, bool_or(col_ix = 0 AND period) AS p
-           FROM (SELECT *, period OR number IS NULL AS hdr FROM ty) y WHERE row_ix < 200 GROUP BY table_id, row_ix),
+           FROM (SELECT *, period OR number IS NULL AS hdr FROM ty) y GROUP BY table_id, row_ix),
     hd AS (SELECT table_id, row_ix AS header_row, n, CASE WHEN f = 0 AND NOT p THEN s ELSE f END AS start_col, e AS end_col FROM hc WHERE n >= 2),
     hs AS (SELECT h.table_id, h.header_row, h.start_col, h.end_col, h.n + sum(CASE WHEN t.row_ix = h.header_row THEN CASE WHEN t.number IS NULL THEN 0 ELSE -3 END WHEN t.number IS NULL THEN 1 ELSE 3 END) AS score
            FROM hd h JOIN ty t ON t.table_id = h.table_id AND t.row_ix BETWEEN h.header_row AND h.header_row + 4 AND t.col_ix BETWEEN h.start_col AND h.end_col GROUP BY h.table_id, h.header_row, h.start_col, h.end_col, h.n),

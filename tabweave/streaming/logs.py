@@ -37,14 +37,20 @@ def audit_stream(entries: DataFrame, late: str = "2 hours") -> DataFrame:
     return audit_rows(entries.withWatermark("at", late).dropDuplicatesWithinWatermark(["event_id"]))
 
 
+#: What learning reads of stored entries.
+ENTRIES = "entry_id string, table_id string, fingerprint string, confidence double, cell_range string, range_mode string, updated_at string, entry_ix long"
+
+
 def learn_stream(plans: DataFrame, read: Callable[[], DataFrame | None], publish: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Merge each micro-batch of plans into the current entries and publish the
-    result as the version of that batch; replaying a batch writes the same version."""
+    result as the version of that batch; replaying a batch writes the same version.
+    ``read`` gives None while nothing was ever published: the store is then empty."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         current = read()
-        if current is not None:
-            publish(learn_mappings(current, batch, str(batch_id)), batch_id)
+        if current is None:
+            current = batch.sparkSession.createDataFrame([], ENTRIES)
+        publish(learn_mappings(current, batch, str(batch_id)), batch_id)
 
     return plans.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

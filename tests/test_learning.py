@@ -31,3 +31,14 @@ def test_interval_join_finds_each_pair_once(spark):
     got = sorted((r["l0"], r["r0"]) for r in joins.overlap_join(left, right, ["k"], "l0", "l1", "r0", "r1", width=4).collect())
     want = sorted((a, b) for a in range(0, 40, 3) for b in range(0, 40, 7) if a <= b + 9 and b <= a + 5)
     assert got == want
+
+
+def test_learning_starts_from_an_empty_store(spark, tmp_path):
+    from tabweave.streaming.logs import learn_stream
+
+    plans = spark.createDataFrame([("t1", "s1", "f1", 0.9), ("t2", "s2", "f2", 0.5)], "target_id string, table_id string, fingerprint string, confidence double")
+    plans.write.json(str(tmp_path / "plans"))
+    published = []
+    stream = spark.readStream.schema(plans.schema).json(str(tmp_path / "plans"))
+    learn_stream(stream, lambda: None, lambda df, n: published.extend(df.collect()), str(tmp_path / "ckpt")).awaitTermination()
+    assert {(r["entry_id"], r["table_id"], r["range_mode"]) for r in published} == {("t1", "s1", "exact"), ("t2", "s2", "exact")}
