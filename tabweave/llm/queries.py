@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, languages, near_duplicates, neighbours, ngrams, packing, quality, repeats, secrets, sharding
+from . import common, decontamination, fixity, languages, near_duplicates, neighbours, ngrams, packing, quality, repeats, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,6 +78,27 @@ def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+SQL["op6_merkle_fixity"] = """
+with m as (
+    select page_id, strlen(url) || ':' || url || strlen(html) || ':' || html as body from pages
+), r as (
+    select page_id, strlen(url) || ':' || url || strlen(h) || ':' || h as body
+    from (select page_id, url, case when page_id % 50 = 7 then html || '!' else html end as h from pages where page_id % 211 <> 3)
+)
+select page_id, cast(sum(strlen(m.body)) over (order by page_id) as bigint) - strlen(m.body) as first, cast(sum(strlen(m.body)) over (order by page_id) as bigint) as past,
+    sha256(m.body) as hash, sha256(r.body) as replica_hash, coalesce(m.body = r.body, false) as intact
+from m left join r using (page_id)"""
+
+
+@query
+def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages against a replica in which some are altered and some are lost."""
+    pages = common.table(spark, sf_dir, "pages")
+    altered = F.when(F.col("page_id") % 50 == 7, F.concat("html", F.lit("!"))).otherwise(F.col("html"))
+    replica = pages.where("page_id % 211 <> 3").withColumn("html", altered)
+    return fixity.audit(pages, replica, "page_id", ["url", "html"])
+
+
 @query
 def op7_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
