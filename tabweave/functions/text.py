@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -12,37 +13,52 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
-    """Compatibility decomposition without combining marks, as translate()
-    arguments: one-to-one folds, then the few one-to-many ones."""
-    source, target, longer = [], [], []
-    for code in [*range(0xA0, 0x2C80), *range(0xFF01, 0xFF5F)]:
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Compatibility decomposition without combining marks over all code points: the
+    arguments of translate() that fold one to one and drop marks, and the forms of
+    several letters as a map."""
+    source, target, longer, dropped = [], [], {}, []
+    for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
-        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        plain = "".join(c if c.isascii() else " " for c in plain)
-        if plain == char or not any(c.isalnum() for c in plain):
+        whole = unicodedata.normalize("NFKD", char)
+        plain = "".join(c for c in whole if not unicodedata.combining(c))
+        if not plain:
+            dropped.append(char)
+            continue
+        plain = "".join(c if c.isascii() else c.upper() if c.upper().isascii() else " " for c in plain)
+        if whole == char or plain == char or not any(c.isalnum() for c in plain):
             continue
         if len(plain) == 1:
             source.append(char)
             target.append(plain)
-        elif code < 0x250 or char in "™№":
-            longer.append((char, plain))
-    return "".join(source), "".join(target), longer
+        else:
+            longer[char] = plain
+    # translate() drops what has no counterpart
+    return "".join(source + dropped), "".join(target), longer
 
 
 _FOLD_FROM, _FOLD_TO, _FOLD_LONGER = _fold_tables()
-_FOLD_LONGER_CLASS = "[" + "".join(c for c, _ in _FOLD_LONGER) + "]"
+# the long forms one after the other, filled up to one width with a character that is taken out again
+_FOLD_WIDTH = max(map(len, _FOLD_LONGER.values()))
+_FOLD_CHARS, _FOLD_FORMS = "".join(_FOLD_LONGER), "".join(v.ljust(_FOLD_WIDTH, "\x00") for v in _FOLD_LONGER.values())
 
 
 def fold_accents(c) -> Column:
-    """Drop diacritics and compatibility forms; plain ASCII text is untouched."""
+    """Drop diacritics and compatibility forms; plain ASCII text is untouched.
+
+    Only texts with a form of several letters are taken apart by character, and only
+    their characters beyond ASCII are looked up."""
     text = _col(c)
-    folded = F.regexp_replace(F.translate(text, _FOLD_FROM, _FOLD_TO), r"\p{Mn}+", "")
-    longer = folded
-    for char, plain in _FOLD_LONGER:
-        longer = F.replace(longer, F.lit(char), F.lit(plain))
-    folded = F.when(text.rlike(_FOLD_LONGER_CLASS), longer).otherwise(folded)
-    return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
+    folded = F.translate(text, _FOLD_FROM, _FOLD_TO)
+
+    def one(v):
+        at = F.instr(F.lit(_FOLD_CHARS), v)
+        form = F.replace(F.substring(F.lit(_FOLD_FORMS), (at - 1) * _FOLD_WIDTH + 1, F.lit(_FOLD_WIDTH)), F.lit("\x00"), F.lit(""))
+        return F.when((v > "\x7f") & (at > 0), form).otherwise(v)
+
+    has_long = F.length(F.translate(text, _FOLD_CHARS, "")) < F.length(text)
+    longer = F.array_join(F.transform(F.split(folded, ""), one), "")
+    return F.when(F.octet_length(text) == F.length(text), text).when(has_long, longer).otherwise(folded)
 
 
 def norm_label(c, plus: bool = True) -> Column:

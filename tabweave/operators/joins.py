@@ -58,17 +58,21 @@ def cascade_join(steps: list[DataFrame], key: list[str], *order) -> DataFrame:
 
 
 def fallback_scope(blocks: DataFrame, files: DataFrame) -> DataFrame:
-    """(block_id, file, scope): a block's own files; for blocks without any, the
-    general files; when there are no general files either, all of them."""
-    own = blocks.join(files.where("block_id is not null"), "block_id").withColumn("scope", F.lit("own"))
-    bare = blocks.join(own.select("block_id").distinct(), "block_id", "left_anti")
-    general = files.where("block_id is null").drop("block_id")
-    shared = general.withColumn("scope", F.lit("general"))
-    if general.limit(1).count() == 0:
-        shared = files.drop("block_id").withColumn("scope", F.lit("all"))
-    # every bare block gets the whole shared list: that list is the result itself
-    shared = shared.withColumn("_one", F.lit(1))
-    return own.unionByName(bare.withColumn("_one", F.lit(1)).join(shared, "_one").drop("_one"))
+    """(block_id, scope): which files a block looks at: its ``own``; without any, the
+    ``general`` ones; when there are no general files either, ``all``.  The lists
+    themselves are ``scope_files``, once each, not once a block."""
+    owners = files.where("block_id is not null").select("block_id", F.lit("own").alias("scope")).distinct()
+    shared = "all" if files.where("block_id is null").limit(1).count() == 0 else "general"
+    return blocks.join(owners, "block_id", "left").select("block_id", F.coalesce("scope", F.lit(shared)).alias("scope"))
+
+
+def scope_files(files: DataFrame) -> DataFrame:
+    """Files with the scope they are listed in: ``own`` below their block, ``general``
+    without one, and every file once more below ``all`` when none is general."""
+    known = files.withColumn("scope", F.when(F.col("block_id").isNull(), "general").otherwise("own"))
+    if files.where("block_id is null").limit(1).count() == 0:
+        known = known.unionByName(files.withColumn("block_id", F.lit(None).cast(files.schema["block_id"].dataType)).withColumn("scope", F.lit("all")))
+    return known
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], l0: str, l1: str, r0: str, r1: str, width: int = 4096) -> DataFrame:

@@ -50,12 +50,11 @@ def trim_grid(r):
 
 
 @query("table_blocks", """
-    WITH f AS (SELECT doc_id, row_ix, col_ix FROM doc_cell WHERE raw <> '' AND row_ix % 4 <> 3), rw AS (SELECT doc_id, row_ix, row_ix - row_number() OVER (PARTITION BY doc_id ORDER BY row_ix) AS g FROM (SELECT DISTINCT doc_id, row_ix FROM f) x),
+    WITH f AS (SELECT doc_id, row_ix, col_ix FROM doc_cell WHERE trim(raw) <> ''), rw AS (SELECT doc_id, row_ix, row_ix - row_number() OVER (PARTITION BY doc_id ORDER BY row_ix) AS g FROM (SELECT DISTINCT doc_id, row_ix FROM f) x),
     b AS (SELECT rw.doc_id, g, count(DISTINCT rw.row_ix) AS n, count(DISTINCT f.col_ix) AS c FROM rw JOIN f ON f.doc_id = rw.doc_id AND f.row_ix = rw.row_ix GROUP BY ALL)
     SELECT d.doc_id, CAST((SELECT count(*) FROM b WHERE b.doc_id = d.doc_id AND n >= 2 AND c >= 2) AS INT) AS table_blocks FROM documents d""")
 def table_blocks(r):
-    # every fourth line of a text is taken as a blank row
-    cells = r.sql("SELECT doc_id, row_ix, col_ix, CASE WHEN row_ix % 4 <> 3 THEN raw END AS raw, CAST(NULL AS DOUBLE) AS num FROM doc_cell")
+    cells = r.sql("SELECT doc_id, row_ix, col_ix, raw, CAST(NULL AS DOUBLE) AS num FROM doc_cell")
     return grid.table_blocks(cells, "doc_id")
 
 

@@ -149,14 +149,17 @@ def rank_templates(r):
 
 @query("fallback_scope", f"""
     WITH f AS (SELECT path, {HINT_PATH_SQL} AS block_id FROM file), b AS (SELECT DISTINCT CAST(c_nationkey * 2 AS INT) AS block_id FROM customer)
-    SELECT b.block_id, f.path, 'own' AS scope FROM b JOIN f USING (block_id)
-    UNION ALL SELECT b.block_id, f.path, 'general' FROM b, f WHERE f.block_id IS NULL AND b.block_id NOT IN (SELECT block_id FROM f WHERE block_id IS NOT NULL)""")
+    SELECT block_id, CASE WHEN block_id IN (SELECT block_id FROM f WHERE block_id IS NOT NULL) THEN 'own' WHEN EXISTS (SELECT 1 FROM f WHERE block_id IS NULL) THEN 'general' ELSE 'all' END AS scope, CAST(NULL AS VARCHAR) AS path FROM b
+    UNION ALL SELECT block_id, CASE WHEN block_id IS NULL THEN 'general' ELSE 'own' END, path FROM f
+    UNION ALL SELECT NULL, 'all', path FROM f WHERE NOT EXISTS (SELECT 1 FROM f WHERE block_id IS NULL)""")
 def fallback_scope(r):
+    """The scope of each block, and the files of each scope."""
     from ..functions.text import block_hint_path
 
     files = r.role("file").select("path", block_hint_path("path").alias("block_id"))
     blocks = r.sql("SELECT DISTINCT CAST(c_nationkey * 2 AS INT) AS block_id FROM {customer}")
-    return joins.fallback_scope(blocks, files)
+    scopes = joins.fallback_scope(blocks, files).withColumn("path", F.lit(None).cast("string"))
+    return scopes.unionByName(joins.scope_files(files))
 
 
 # --- boxes ------------------------------------------------------------------------------

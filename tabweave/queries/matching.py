@@ -105,11 +105,25 @@ def edges_of(r):
 
 @query("composite_score", f"""
     WITH {EDGES_SQL} SELECT target_id, table_id, round(score, 6) AS score, round(cat, 6) AS cat_score, round(ser, 6) AS ser_score,
-        CAST((oh + sh + mh) + CASE WHEN fs >= 0.55 THEN 1 ELSE 0 END + CASE WHEN object_type = 'chart' THEN 1 ELSE 0 END
-        + CASE WHEN object_type = 'chart' AND oh + sh + mh = 0 AND comp AND ser < 0.8 THEN 1 ELSE 0 END + wh AS INT) AS n_reasons FROM edge""")
+        array_to_string(list_filter([CASE WHEN oh > 0 THEN 'object id' END, CASE WHEN sh > 0 THEN 'source id' END, CASE WHEN mh > 0 THEN 'metadata id' END,
+            CASE WHEN fs >= 0.55 THEN 'file name ' || CAST(CAST(round_even(fs * 100, 0) AS INT) AS VARCHAR) || '%' END,
+            CASE WHEN object_type = 'chart' AND oh + sh + mh = 0 AND comp AND ser < 0.8 THEN 'comparison series incomplete' END,
+            CASE WHEN object_type = 'chart' THEN 'categories ' || CAST(CAST(round_even(cat * 100, 0) AS INT) AS VARCHAR) || '%, series ' || CAST(CAST(round_even(ser * 100, 0) AS INT) AS VARCHAR) || '%' END,
+            CASE WHEN wh > 0 THEN 'table width' END], lambda v: v IS NOT NULL), '; ') AS reasons FROM edge""")
 def composite_score(r):
     return edges_of(r).select("target_id", "table_id", F.round("score", 6).alias("score"), F.round("cat_score", 6).alias("cat_score"),
-                              F.round("ser_score", 6).alias("ser_score"), F.size("reasons").alias("n_reasons"))
+                              F.round("ser_score", 6).alias("ser_score"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query("relevant_sources", f"""
+    WITH {EDGES_SQL}, best AS (SELECT block_id, table_id FROM edge QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY round(score, 9) DESC, table_ix) <= 4),
+    b AS (SELECT DISTINCT block_id FROM tf)
+    SELECT DISTINCT block_id, table_id, 'scored' AS scope FROM best
+    UNION ALL SELECT b.block_id, sf.table_id, 'own' FROM b LEFT JOIN sf USING (block_id) WHERE b.block_id NOT IN (SELECT block_id FROM best)""")
+def relevant_sources(r):
+    """Sources worth sending to a reviewer of each block."""
+    edges = edges_of(r).withColumn("score", F.round("score", 9))
+    return candidates.relevant_sources(edges, r.targets(), r.source_tables(), 4)
 
 
 @query("topk_candidates", f"""

@@ -351,9 +351,8 @@ class Roles:
         cols = self.role("tgt_col").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("c"))
         empty = F.array().cast("array<string>")
         width = self.role("tgt_cell").groupBy("target_id").agg((F.max("col_ix") + 1).alias("table_width"))
-        read = F.col("row_ix") < 4
         texts = (
-            self.role("tgt_cell").where(read & (F.col("col_ix") < 8)).groupBy("target_id")
+            self.role("tgt_cell").groupBy("target_id")
             .agg(F.array_sort(F.collect_list(F.struct("row_ix", "col_ix", "text"))).alias("g"))
             .select("target_id", F.col("g.text").alias("cell_texts"))
         )
@@ -388,7 +387,7 @@ ROLES["target"] = """
         FROM tgt_head h LEFT JOIN (SELECT k, list(label ORDER BY pos, label) AS l FROM tgt_row GROUP BY k) r ON r.k = h.k
         LEFT JOIN (SELECT k, list(label ORDER BY pos, label) AS l FROM tgt_col GROUP BY k) c ON c.k = h.k
         LEFT JOIN (SELECT target_id, max(col_ix) + 1 AS table_width FROM tgt_cell GROUP BY target_id) w ON w.target_id = h.target_id
-        LEFT JOIN (SELECT target_id, list(text ORDER BY row_ix, col_ix) AS l FROM tgt_cell WHERE row_ix < 4 AND col_ix < 8 GROUP BY target_id) x ON x.target_id = h.target_id"""
+        LEFT JOIN (SELECT target_id, list(text ORDER BY row_ix, col_ix) AS l FROM tgt_cell GROUP BY target_id) x ON x.target_id = h.target_id"""
 _ORDER.extend(["source_table", "target"])
 
 

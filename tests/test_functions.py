@@ -1,6 +1,8 @@
 """Scalar expressions on literal examples."""
 
 import datetime
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,3 +85,15 @@ def test_fingerprints_ignore_order(spark):
     two = hashing.source_signature(F.array(F.lit("A"), F.lit("B")), F.array(F.lit("X")))
     assert value(spark, one) == value(spark, two) != ""
     assert value(spark, hashing.source_signature(F.array(F.lit(" ")), F.array(F.lit("")))) == ""
+
+
+def test_every_compatibility_form_folds(spark):
+    rows, expected = [], {}
+    for code in [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]:
+        whole = unicodedata.normalize("NFKD", chr(code))
+        if whole != chr(code) or unicodedata.combining(chr(code)):
+            plain = "".join(c for c in whole if not unicodedata.combining(c))
+            expected[code] = " ".join(re.sub("[^A-Z0-9]+", " ", f"a{plain}b PLUS".upper()).split())
+            rows.append((code, f"a{chr(code)}b+"))
+    found = {r["code"]: r["key"] for r in spark.createDataFrame(rows, "code int, v string").select("code", text.norm_label("v").alias("key")).collect()}
+    assert len(rows) > 5000 and {c: (found[c], e) for c, e in expected.items() if found[c] != e} == {}
