@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.scores import soft_score
-from ..functions.text import norm_label, tokens
-from ..operators import alignment, contracts, diff
+from ..operators import alignment, contracts, diff, tables
 from ..operators.aggregates import issue_report
 from ..plans import matching, package
 from ..sources.mapping import load_mapping
@@ -124,18 +122,49 @@ def fill_blank_labels(r):
     h AS (SELECT *, len(list_filter(f, lambda v: list_contains(hd, v))) >= greatest(1, (least(len(f), len(list_distinct(hd))) + 1) // 2) OR (n >= 2 AND len(f) > 0 AND NOT later) AS has_header FROM j)
     SELECT target_id, has_header, len(rl) > 1 OR w = len(categories) + 1 OR list_has_any(rl, CASE WHEN has_header THEN fc[2:] ELSE fc END) AS has_labels FROM h""")
 def adaptive_table(r):
-    c = r.role("tgt_cell")
-    shape = c.groupBy("target_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("row_ix") == 0, F.struct("col_ix", "text")))).alias("fr"), F.array_sort(F.collect_list(F.when(F.col("col_ix") == 0, F.struct("row_ix", "text")))).alias("fc"),
-        (F.max("row_ix") + 1).alias("n_target_rows"), (F.max("col_ix") + 1).alias("width"), F.max((F.col("row_ix") > 0) & (F.trim("text") != "")).alias("later_filled"))
-    shape = shape.withColumn("first_row", F.col("fr.text")).withColumn("first_col", F.col("fc.text"))
+    shape = tables.table_shape(r.role("tgt_cell"))
     s = r.source_tables().select("k", F.col("categories").alias("headers"), F.col("series").alias("row_labels"))
     out = alignment.adaptive_table(r.role("tgt_head").select("k", "target_id").join(shape, "target_id").join(s, "k"))
     return out.select("target_id", "has_header", "has_labels")
 
 
-TEMPLATE = "SELECT 't' || k AS target_id, k, CAST(row_number() OVER (PARTITION BY k ORDER BY pos, label) - 1 AS INT) AS ix, label, 'v' || pos AS value FROM tgt_row WHERE k % 2 = 0"
-KV_SOURCE = "SELECT 't' || k AS target_id, k, ix, label, CAST(nk AS STRING) AS value FROM src_row WHERE k >= 0 AND k % 2 = 0 AND nk % 3 <> 1"
+# a third of the sources are read as names with one value, a third by their columns
+@query("table_plans", f"""
+    WITH pa AS MATERIALIZED (SELECT t.target_id, s.table_id, s.k % 3 AS m, s.series AS rl, s.categories AS hd FROM target t JOIN source_table s ON s.k = t.k WHERE t.object_type = 'table'),
+    t AS (SELECT target_id, list({norm_sql('text')} ORDER BY row_ix, col_ix) FILTER (row_ix = 0) AS fr, list({norm_sql('text')} ORDER BY row_ix) FILTER (col_ix = 0) AS fc, max(row_ix) + 1 AS n, max(col_ix) + 1 AS w,
+        bool_or(row_ix > 0 AND trim(text) <> '') AS later FROM tgt_cell GROUP BY target_id),
+    j AS (SELECT *, {_N('hd')} AS nh, {_N('rl')} AS nr, list_filter(fr, lambda v: v <> '') AS f FROM pa JOIN t USING (target_id) WHERE m <> 0),
+    h AS (SELECT *, len(list_filter(f, lambda v: list_contains(nh, v))) >= greatest(1, (least(len(f), len(list_distinct(nh))) + 1) // 2) OR (n >= 2 AND len(f) > 0 AND NOT later) AS top FROM j),
+    g AS MATERIALIZED (SELECT target_id, table_id, rl, hd, CAST(top AS INT) AS top, CAST(len(rl) > 1 OR w = len(hd) + 1 OR list_has_any(nr, CASE WHEN top THEN fc[2:] ELSE fc END) AS INT) AS side FROM h),
+    r AS (SELECT target_id, table_id, top, side, hd, rl[i] AS label, i FROM (SELECT *, unnest(range(1, len(rl) + 1)) AS i FROM g) x),
+    c AS (SELECT target_id, table_id, top, side, hd[i] AS label, i FROM (SELECT *, unnest(range(1, len(hd) + 1)) AS i FROM g) x),
+    kp AS MATERIALIZED (SELECT target_id, table_id, rl FROM pa WHERE m = 0), ks AS (SELECT target_id, table_id, rl[i] AS label, i - 1 AS ix FROM (SELECT *, unnest(range(1, len(rl) + 1)) AS i FROM kp) x),
+    tr AS (SELECT target_id, row_ix, max(text) FILTER (col_ix = 0) AS label, coalesce(max(text) FILTER (col_ix = 1), '') AS value, max(col_ix) AS last FROM tgt_cell JOIN kp USING (target_id) GROUP BY ALL),
+    tt AS (SELECT * FROM tr WHERE target_id NOT IN (SELECT target_id FROM tr WHERE last < 1 OR coalesce({norm_sql('label')}, '') = '')),
+    b AS (SELECT tt.target_id, tt.row_ix, {norm_sql('tt.label')} AS a, {norm_sql('ks.label')} AS b, {soft_sql(norm_sql('tt.label'), norm_sql('ks.label'))} AS sc, ks.ix FROM tt JOIN ks USING (target_id)),
+    bb AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY target_id, row_ix ORDER BY sc DESC, ix) = 1),
+    al AS (SELECT tt.*, row_number() OVER (PARTITION BY tt.target_id ORDER BY tt.row_ix) - 1 AS p FROM tt LEFT JOIN bb USING (target_id, row_ix)
+        WHERE coalesce(sc, 0) < 0.68 AND NOT coalesce(list_has_any(list_filter(string_split(a, ' '), lambda w: len(w) >= 3), list_filter(string_split(b, ' '), lambda w: len(w) >= 3)), false)),
+    kr AS (SELECT al.target_id, kp.table_id, p AS row_ix, label, value AS shown, CAST(NULL AS DOUBLE) AS num FROM al JOIN kp USING (target_id)
+        UNION ALL SELECT ks.target_id, ks.table_id, ks.ix + (SELECT count(*) FROM al WHERE al.target_id = ks.target_id), ks.label, CASE WHEN v.num IS NULL THEN '' END, v.num FROM ks LEFT JOIN src_value v ON v.table_id = ks.table_id AND v.row_ix = ks.ix AND v.col_ix = 0)
+    SELECT target_id, table_id, CAST(0 AS INT) AS row_ix, CAST(0 AS INT) AS col_ix, CAST(NULL AS VARCHAR) AS row_label, CAST(NULL AS VARCHAR) AS col_label, CAST(NULL AS VARCHAR) AS text, CAST(NULL AS DOUBLE) AS value FROM g WHERE top = 1 AND side = 1
+    UNION ALL SELECT target_id, table_id, 0, CAST(i - 1 + side AS INT), NULL, label, label, NULL FROM c WHERE top = 1
+    UNION ALL SELECT target_id, table_id, CAST(i - 1 + top AS INT), 0, label, NULL, label, NULL FROM r WHERE side = 1
+    UNION ALL SELECT r.target_id, r.table_id, CAST(r.i - 1 + r.top AS INT), CAST(c.i - 1 + r.side AS INT), r.label, c.label, NULL, v.num FROM r JOIN c USING (target_id) LEFT JOIN src_value v ON v.table_id = r.table_id AND v.row_ix = r.i - 1 AND v.col_ix = c.i - 1
+    UNION ALL SELECT target_id, table_id, CAST(row_ix AS INT), 0, label, NULL, label, NULL FROM kr UNION ALL SELECT target_id, table_id, CAST(row_ix AS INT), 1, label, 'Vendas', shown, num FROM kr""")
+def table_plans(r):
+    """The filled grid of every table contract."""
+    m = F.col("k") % 3
+    kind = F.when(m == 0, tables.KEY_VALUE).when(m == 1, "categories_rows_series_columns").otherwise("series_rows_categories_columns")
+    s = r.source_tables().select(
+        "k", "table_id", kind.alias("source_orientation"), F.when(m == 2, F.col("categories")).otherwise(F.col("series")).alias("source_categories"),
+        F.when(m == 0, F.array(F.lit("Vendas"))).when(m == 1, F.col("categories")).otherwise(F.col("series")).alias("source_series"))
+    pairs = r.role("tgt_head").where("object_type = 'table'").select("k", "target_id").join(s, "k").drop("k")
+    return tables.table_cells(pairs, r.role("tgt_cell"), r.role("src_value"))
+
+
+TEMPLATE = "SELECT 't' || k AS target_id, k, CAST(row_number() OVER (PARTITION BY k ORDER BY pos, label) - 1 AS INT) AS ix, label, 'v' || pos AS value FROM tgt_row "
+KV_SOURCE = "SELECT 't' || k AS target_id, k, ix, label, CAST(nk AS STRING) AS value FROM src_row WHERE k >= 0"
 
 
 @query("key_value_fill", f"""
@@ -145,12 +174,7 @@ KV_SOURCE = "SELECT 't' || k AS target_id, k, ix, label, CAST(nk AS STRING) AS v
     UNION ALL SELECT target_id, 1, ix, label, value FROM s""")
 def key_value_fill(r):
     t, s = r.sql(TEMPLATE), r.sql(KV_SOURCE)
-    choices = s.groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("ix", norm_label("label").alias("n")))).alias("cs"))
-    key = norm_label("label")
-    scored = t.join(choices, "target_id").withColumn("key", key).withColumn("b", F.array_min(F.transform("cs", lambda c: F.struct((-soft_score(F.col("key"), c["n"])).alias("s"), c["ix"], c["n"].alias("n")))))
-    long = lambda n: F.filter(tokens(n), lambda w: F.length(w) >= 3)
-    best = scored.select("target_id", "ix", (-F.col("b.s")).alias("score"), F.arrays_overlap(long("key"), long("b.n")).alias("shares_word"))
-    return alignment.key_value_fill(t, s, best)
+    return alignment.key_value_fill(t, s, tables.best_labels(t, s))
 
 
 SERIES = """SELECT h.k, h.target_id, r.ix, CASE WHEN r.nk % 5 = 0 THEN 'Taxa ' || r.label ELSE r.label END AS label, CASE r.nk % 4 WHEN 0 THEN '0%' WHEN 1 THEN 'General' WHEN 2 THEN '#,##0.0' ELSE '' END AS target_format,
