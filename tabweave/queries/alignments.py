@@ -295,4 +295,4 @@ def validation_report(r):
 def match_plans(r):
     """For each contract pick one source sheet and return the filled matrix."""
     edges = edges_of(r)
-    return matching.match_plans(r.targets(), r.source_tables(), r.role("src_value"), edges).cells
+    return matching.match_plans(r.targets(), r.source_tables(), r.role("src_value"), edges, cells=r.role("tgt_cell")).cells
