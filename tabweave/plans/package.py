@@ -9,30 +9,34 @@ from pyspark.sql import functions as F
 
 from ..functions.text import base_name
 from ..operators.contracts import read_contract
+from ..session import cut_lineage
 
 
 def validate_package(mapping: DataFrame, targets: DataFrame, tables: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(issues, resolved) of loaded mapping rows.
 
     Issues are (level, target_id, issue); a package may be published only when none
-    is an ERROR.  Each check is a join or an anti join, so all run in parallel."""
-    known = targets.select("target_id").distinct()
+    is an ERROR.  Each check is a join or an anti join over inputs written once, so
+    no check reads the mapping, the sheets or the regions again."""
+    known = cut_lineage(targets.select("target_id").distinct(), "known")
+    mapping = cut_lineage(mapping, "mapping")
     active = mapping.where("active = 1")
     mine = active.join(known, "target_id", "left_semi").withColumn("file_key", F.lower(base_name("file_name")))
-    sheets = tables.withColumn("file_key", F.lower(base_name("file_name")))
+    sheets = cut_lineage(tables.withColumn("file_key", F.lower(base_name("file_name"))), "sheets")
     per_file = sheets.groupBy("file_key").agg(F.count("*").alias("n_sheets"), F.min("sheet_name").alias("only_sheet"))
     issue = lambda df, level, text: df.select(F.lit(level).alias("level"), "target_id", F.lit(text).alias("issue"))
     nobody = lambda df: df.select(F.lit("").alias("target_id"))
 
     unnamed = mine.where("file_key = ''")
-    filed = mine.where("file_key <> ''").join(per_file, "file_key", "left")
+    filed = cut_lineage(mine.where("file_key <> ''").join(per_file, "file_key", "left"), "filed")
     absent = filed.where("n_sheets is null")
     present = filed.where("n_sheets is not null").withColumn(
         "sheet_name", F.when(F.col("sheet_name") != "", F.col("sheet_name")).when(F.col("n_sheets") == 1, F.col("only_sheet")).otherwise(""))
     unclear = present.where("sheet_name = ''")
     located = present.where("sheet_name <> ''").join(sheets.select("file_key", "sheet_name", "table_id", "readable"), ["file_key", "sheet_name"], "left")
+    located = cut_lineage(located, "located")
     no_sheet = located.where("table_id is null")
-    read = read_contract(located.where("table_id is not null"), regions)
+    read = cut_lineage(read_contract(located.where("table_id is not null"), regions), "read")
     unread = read.where("issue is not null").select(F.lit("ERROR").alias("level"), "target_id", "issue")
     empty = read.where("issue is null and readable = 0")
 

@@ -14,7 +14,7 @@ QUERIES, SQL = entry.queries(), entry.oracle_sql()
 CHOSEN = """cells_from_table mapping_checks event_log_roundtrip publish_version norm_label parse_number fingerprint tenant_scope candidate_edges topk_candidates
     confidence assign_optimal assign_greedy alias_join basename_join fallback_scope nearest_text nearest_title merged_lookup override_upsert scoped_diff learn_mappings
     ambiguity block_review status_rollup usage_cost stale_outputs progress_percent header_row orientation infer_label label_map dense_fill read_contract package_issues
-    typed_matrix_issues stream_usage_hourly stream_job_state stream_audit stream_learn""".split()
+    typed_matrix_issues relevant_sources composite_score table_plans table_blocks stream_usage_hourly stream_job_state stream_audit stream_learn""".split()
 
 
 @pytest.fixture(scope="module")
