@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, kept, named, prepare, stream, whole_groups
+from .near_duplicates import Union
 
 #: Neighbours of a list, random tables of the start, rows of a start leaf and members of a local join.
 LIST, TABLES, LEAF, JOIN = 10, 6, 1000, 256
@@ -20,8 +21,8 @@ ROUNDS, CHANGED = 6, 0.001
 AUDIT, RECALL = 256, 0.99
 #: Lists are enlarged at most so often where the audit asks for it.
 ENLARGED = 3
-#: Vectors of a component compared in one block.
-BLOCK = 1024
+#: Vectors of a component compared in one block, and centres of blocks compared in one lot.
+BLOCK, CENTRES = 1024, 4096
 
 
 def unit(blobs: list[bytes], kind=np.float32) -> np.ndarray:
@@ -116,26 +117,88 @@ def _refine(nodes: DataFrame, lists: DataFrame, size: int, round_: int) -> tuple
     return kept(_lists(old.union(new), size), "neighbour-lists"), changed
 
 
-def _count_links(threshold: float):
-    """(id, links) of the rows of a pair of blocks of a component; a block's own pairs are counted where it meets itself."""
+def _count_links(threshold: float, keys: int = 2):
+    """(id, other, links): the links of each row of a pair of blocks, where other is the id itself, and pairs without links that connect
+    what the links connect.  A block's own pairs are counted where it meets itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, 2):
+        for table, bounds in whole_groups(batches, keys):
             ids, own, other, copies = (table.column(c).to_numpy() for c in ("id", "own", "other", "copies"))
             exact, out = table.column("exact"), []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                v = unit(exact[a:b].to_pylist(), float)
+                v, sets = unit(exact[a:b].to_pylist(), float), Union(b - a)
                 for s in range(0, b - a, 256):
                     link = v[s:s + 256] @ v.T >= threshold
                     link[np.arange(len(link)), s + np.arange(len(link))] = False
                     if own[a] != other[a]:
                         link &= own[a:b][s:s + 256, None] != own[a:b][None, :]
-                    out.append((ids[a + s:a + s + len(link)], link @ copies[a:b]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i in (0, 1)], ["id", "links"])
+                    out.append((ids[a + s:a + s + len(link)], ids[a + s:a + s + len(link)], link @ copies[a:b]))
+                    for x in np.flatnonzero(link.any(axis=1)).tolist():
+                        to = ids[a + sets.join(s + x, np.flatnonzero(link[x]))]
+                        out.append((np.full(len(to), ids[a + s + x]), to, np.zeros(len(to), np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i in range(3)], ["id", "other", "links"])
 
     return run
 
 
+LINKS = "id long, other long, links long"
+
+
+def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(component, own, centre, reach) of each block: its mean direction and the largest angle of a member to it."""
+    for table, bounds in whole_groups(batches, 2):
+        exact, centres, reach = table.column("exact"), [], []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            v = unit(exact[a:b].to_pylist(), float)
+            centre = v.sum(axis=0)
+            length = np.sqrt((centre * centre).sum())
+            centre = centre / length if length > 1e-6 else np.zeros_like(centre)
+            centres.append(centre.tobytes())
+            reach.append(math.acos(min(1.0, max(-1.0, float((v @ centre).min())))) if length > 1e-6 else math.pi)
+        columns = [*(pa.array(table.column(c).to_numpy()[bounds[:-1]]) for c in ("component", "own")), pa.array(centres, pa.binary()), pa.array(reach)]
+        yield pa.RecordBatch.from_arrays(columns, ["component", "own", "centre", "reach"])
+
+
+def _near_centres(threshold: float):
+    """(ca, oa, cb, ob): the blocks of two components that may hold a link, as the angle between their centres is at most that of a link
+    and both reaches."""
+    angle = math.acos(min(1.0, max(-1.0, threshold))) + 1e-6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, 1):
+            component, own, lot, reach = (table.column(c).to_numpy() for c in ("component", "own", "lot", "reach"))
+            centres = table.column("centre")
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                v, c, o, r = unit(centres[a:b].to_pylist(), float), component[a:b], own[a:b], reach[a:b]
+                for s in range(0, b - a, 256):
+                    near = np.arccos(np.clip(v[s:s + 256] @ v.T, -1, 1)) <= r[s:s + 256, None] + r[None, :] + angle
+                    near &= c[s:s + 256, None] < c[None, :]
+                    if lot[a:b].min() != lot[a:b].max():
+                        near &= lot[a:b][s:s + 256, None] != lot[a:b][None, :]
+                    x, y = np.nonzero(near)
+                    yield pa.RecordBatch.from_arrays([pa.array(k) for k in (c[s + x], o[s + x], c[y], o[y])], ["ca", "oa", "cb", "ob"])
+
+    return run
+
+
+def _across(inside: DataFrame, threshold: float) -> DataFrame:
+    """Links between the crowded components, as by ``_count_links``: only blocks that are near enough meet."""
+    blocks = inside.select("component", "own", "exact").repartition("component", "own").sortWithinPartitions("component", "own")
+    centres = kept(blocks.mapInArrow(_centres, "component long, own long, centre binary, reach double"), "neighbour-centres")
+    lots = max(1, math.ceil(centres.count() / CENTRES))
+    dealt = centres.withColumn("lot", F.pmod(F.xxhash64("component", "own"), F.lit(lots))).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))))
+    # where several lots are, the pairs of a lot are compared where it meets itself
+    dealt = dealt.select((F.least("lot", "to") * lots + F.greatest("lot", "to")).alias("pair"), "component", "own", "lot", "centre", "reach")
+    near = dealt.repartition("pair").sortWithinPartitions("pair").mapInArrow(_near_centres(threshold), "ca long, oa long, cb long, ob long")
+    near = kept(near, "neighbour-near-blocks")
+    sides = []
+    for k, (c, o) in enumerate((("ca", "oa"), ("cb", "ob"))):
+        side = inside.select(F.col("component").alias(c), F.col("own").alias(o), "id", "copies", "exact")
+        sides.append(near.join(side, [c, o]).select("ca", "oa", "cb", "ob", "id", F.lit(k).cast("long").alias("own"), F.lit(1 - k).cast("long").alias("other"), "copies", "exact"))
+    keys = ["ca", "oa", "cb", "ob"]
+    return kept(sides[0].union(sides[1]).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_count_links(threshold, 4), LINKS), "neighbour-across")
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each vector scaled to length 1, in doubles and in floats."""
     for batch in batches:
@@ -184,19 +247,29 @@ def _exact_links(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFr
 
 def _counted(links: DataFrame, lists: DataFrame, nodes: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(id, component) and (id, links).  A node whose list is full of links may have more: then the lists of its component are
-    enlarged to the whole component, and counted in blocks; otherwise the lists have all links."""
+    enlarged to the whole component and to the other components of such nodes near enough, and counted in blocks.  Other nodes'
+    lists have all links, also those to the former."""
     members = kept(components(links, "neighbour-components").select(F.col("node").alias("id"), "component"), "neighbour-members")
     full = lists.where((F.size("near") >= size) & (F.element_at("near", -1)["d"] <= 1 - threshold + 1e-5)).select("id")
     crowded = members.join(full, "id").select("component").distinct().join(members.groupBy("component").count(), "component")
     crowded = kept(crowded.select("component", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks")), "neighbour-crowded")
     inside = members.join(crowded, "component").join(nodes.select("id", "copies", "exact"), "id").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    inside = kept(inside, "neighbour-inside")
     met = inside.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.select("component", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("pair"), "id", "own", "other", "copies", "exact")
-    counts = met.repartition("component", "pair").sortWithinPartitions("component", "pair").mapInArrow(_count_links(threshold), "id long, links long")
+    counts = met.repartition("component", "pair").sortWithinPartitions("component", "pair").mapInArrow(_count_links(threshold), LINKS)
+    across = _across(inside, threshold)
     apart = links.join(members.select(F.col("id").alias("a"), "component"), "a").join(crowded.select("component"), "component", "left_anti")
     ends = apart.select(F.col("a").alias("id"), F.col("b").alias("to")).union(apart.select(F.col("b").alias("id"), F.col("a").alias("to")))
     listed = ends.join(nodes.select(F.col("id").alias("to"), "copies"), "to").select("id", F.col("copies").alias("links"))
-    return members, kept(counts.union(listed).groupBy("id").agg(F.sum("links").alias("links")), "neighbour-counts")
+    counts = counts.union(across).select("id", "links").union(listed).groupBy("id").agg(F.sum("links").alias("links"))
+    bridges = across.where("id != other")
+    if not bridges.isEmpty():
+        a, b = (members.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in ("id", "other"))
+        merged = components(bridges.join(a, "id").join(b, "other").select("cid", "cother").distinct(), "neighbour-merged")
+        members = members.join(merged.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left")
+        members = kept(members.select("id", F.coalesce("least", "component").alias("component")), "neighbour-members")
+    return members, kept(counts, "neighbour-counts")
 
 
 def _audited(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
@@ -224,7 +297,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
 
     NN-descent: lists of the nearest few start from leaves of random sign codes; in each round the neighbours of a node and those
     it is a neighbour of are compared with each other, until few entries change.  Entries over the threshold, confirmed in doubles, are
-    links.  Components with a saturated list (all links) enlarge it to the component, whose links are counted in pairs of blocks.  An audit counts all links of
+    links.  Components with a saturated list (all links) enlarge it to the component and to the other such components, whose links are counted in
+    pairs of blocks; blocks too far apart by their centres and reaches do not meet.  An audit counts all links of
     256 vectors against all vectors; while under 99 % of them are found, the lists are doubled and refined again, three times at most.
 
     Equal vectors are one node with a number of copies.  n_links counts the other vectors linked directly, component_id is the smallest id reachable,

@@ -88,6 +88,23 @@ def test_near_vectors(spark, monkeypatch, block):
     assert found == plain_links(rows) + [(i, 0, i, True) for i, _ in odd]
 
 
+@pytest.mark.parametrize(("block", "centres"), [(1024, 4096), (8, 2)])
+def test_near_vectors_between_saturated_families(spark, monkeypatch, block, centres):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    monkeypatch.setattr(neighbours, "CENTRES", centres)
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(3):  # two families of 12, about 0.99 inside and 0.93 to each other
+        x, y = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+        for v in (x, 0.93 * x + (1 - 0.93**2) ** 0.5 * y):
+            rows += [(v + 0.01 * rng.normal(size=32)).tolist() for _ in range(12)]
+    rows += rng.normal(size=(60, 32)).tolist()
+    rows = list(enumerate(rows))
+    found = sorted(tuple(r) for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert {r[1] for r in found} == {0, 23}
+    assert found == plain_links(rows)
+
+
 def test_near_vectors_repeated_and_empty(spark):
     v = [1.0, 2.0, 3.0]
     vectors = spark.createDataFrame([(4, v), (4, v), (6, [2.0, 4.0, 6.0]), (None, v)], "vec_id long, embedding array<double>")
