@@ -17,12 +17,13 @@ from .near_duplicates import Union
 LIST, TABLES, LEAF, JOIN = 10, 6, 1000, 256
 #: Rounds of refinement at most before lists are enlarged, and the share of changed entries that ends them sooner.
 ROUNDS, CHANGED = 6, 0.001
-#: Vectors whose links are counted exactly against all vectors, and the share of those links that must have been found.
+#: Vectors of a stratum whose links are counted exactly against all vectors, and the share of a vector's links that must
+#: have been found on average.
 AUDIT, RECALL = 256, 0.99
-#: Lists are enlarged at most so often where the audit asks for it.
+#: Lists are enlarged at most so often where the audit asks for it, before all vectors are compared.
 ENLARGED = 3
-#: Vectors of a component compared in one block, and centres of blocks compared in one lot.
-BLOCK, CENTRES = 1024, 4096
+#: Vectors of a component compared in one block, centres of blocks compared in one lot, and vectors of a block where all are compared.
+BLOCK, CENTRES, WHOLE = 1024, 4096, 4096
 
 
 def unit(blobs: list[bytes], kind=np.float32) -> np.ndarray:
@@ -245,8 +246,8 @@ def _exact_links(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFr
     return kept(both.select("a", "b", "va", "vb").mapInArrow(run, "a long, b long"), "neighbour-links")
 
 
-def _counted(links: DataFrame, lists: DataFrame, nodes: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(id, component) and (id, links).  A node whose list is full of links may have more: then the lists of its component are
+def _counted(links: DataFrame, lists: DataFrame, nodes: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, component), (id, links) and the crowded components.  A node whose list is full of links may have more: then the lists of its component are
     enlarged to the whole component and to the other components of such nodes near enough, and counted in blocks.  Other nodes'
     lists have all links, also those to the former."""
     members = kept(components(links, "neighbour-components").select(F.col("node").alias("id"), "component"), "neighbour-members")
@@ -269,12 +270,21 @@ def _counted(links: DataFrame, lists: DataFrame, nodes: DataFrame, size: int, th
         merged = components(bridges.join(a, "id").join(b, "other").select("cid", "cother").distinct(), "neighbour-merged")
         members = members.join(merged.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left")
         members = kept(members.select("id", F.coalesce("least", "component").alias("component")), "neighbour-members")
-    return members, kept(counts, "neighbour-counts")
+        crowded = crowded.join(merged.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left")
+        crowded = crowded.select(F.coalesce("least", "component").alias("component")).distinct()
+    return members, kept(counts, "neighbour-counts"), crowded
 
 
-def _audited(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Share of all links of a fixed number of nodes, counted against every node, that ``counts`` has."""
-    asked = nodes.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "exact").collect()
+def _audited(nodes: DataFrame, members: DataFrame, crowded: DataFrame, counts: DataFrame, threshold: float) -> float:
+    """Share of its links that ``counts`` has for a vector, counted against every vector: the mean over vectors with any link, of crowded
+    components or of others, whichever is less.
+
+    A fixed number is drawn from each of crowded components, other components and vectors without found links.  The last two
+    are one mean, weighted by the vectors that each stands for, so a few lost links of very many single vectors are not outweighed."""
+    kinds = nodes.select("id", "exact").join(members, "id", "left").join(crowded.select("component", F.lit(0).alias("crowded")), "component", "left")
+    kinds = kinds.select("id", "exact", F.coalesce("crowded", F.when(F.col("component").isNotNull(), 1).otherwise(2)).alias("kind"))
+    sizes = {r.kind: r["count"] for r in kinds.groupBy("kind").count().collect()}
+    asked = [r for k in sizes for r in kinds.where(F.col("kind") == k).orderBy(F.xxhash64("id"), "id").limit(AUDIT).collect()]
     if not asked:
         return 1.0
     ids, v = np.array([r.id for r in asked]), unit([bytes(r.exact) for r in asked], float)
@@ -288,8 +298,25 @@ def _audited(nodes: DataFrame, counts: DataFrame, threshold: float) -> float:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(links, pa.int64())], ["id", "true_links"])
 
     true = nodes.select("id", "copies", "exact").mapInArrow(run, "id long, true_links long").groupBy("id").agg(F.sum("true_links").alias("n"))
-    found, there = true.join(counts, "id", "left").agg(F.sum(F.least("n", F.coalesce("links", F.lit(0)))), F.sum("n")).first()
-    return found / there if there else 1.0
+    share = {r.id: r.share for r in true.where("n > 0").join(counts, "id", "left").select("id", (F.least("n", F.coalesce("links", F.lit(0))) / F.col("n")).alias("share")).collect()}
+    drawn = {k: [share.get(r.id) for r in asked if r.kind == k] for k in sizes}
+    means = []
+    for part in ((0,), (1, 2)):
+        known = [(x, sizes[k] / len(drawn[k])) for k in part for x in drawn.get(k, ()) if x is not None]
+        if known:
+            means.append(sum(x * w for x, w in known) / sum(w for _, w in known))
+    return min(means, default=1.0)
+
+
+def _compared(nodes: DataFrame, total: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(id, component) and (id, links) from all pairs of blocks of all vectors."""
+    blocks = max(1, math.ceil(total / WHOLE))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long")
+    met = nodes.select("id", "copies", "exact", own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    met = met.select((F.least("own", "other") * blocks + F.greatest("own", "other")).alias("pair"), "id", "own", "other", "copies", "exact")
+    found = kept(met.repartition("pair").sortWithinPartitions("pair").mapInArrow(_count_links(threshold, 1), LINKS), "neighbour-compared")
+    members = components(found.where("id != other").select("id", "other"), "neighbour-components").select(F.col("node").alias("id"), "component")
+    return kept(members, "neighbour-members"), kept(found.groupBy("id").agg(F.sum("links").alias("links")), "neighbour-counts")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", size: int = LIST) -> DataFrame:
@@ -299,7 +326,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     it is a neighbour of are compared with each other, until few entries change.  Entries over the threshold, confirmed in doubles, are
     links.  Components with a saturated list (all links) enlarge it to the component and to the other such components, whose links are counted in
     pairs of blocks; blocks too far apart by their centres and reaches do not meet.  An audit counts all links of
-    256 vectors against all vectors; while under 99 % of them are found, the lists are doubled and refined again, three times at most.
+    256 vectors of crowded components, of other components and without links against all vectors; while a vector has under 99 % of its
+    links on average, in crowded components or elsewhere, the lists are doubled and refined again, three times at most.  Lists that
+    still fail are given up, and all vectors are compared in blocks.
 
     Equal vectors are one node with a number of copies.  n_links counts the other vectors linked directly, component_id is the smallest id reachable,
     itself included, and kept marks it.  A vector that is null, zero, of another length than the most frequent one (of ties the
@@ -330,10 +359,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
                 break
         edges = lists.select("id", F.inline("near")).select("id", "other", "d")
         links = _exact_links(edges, units, threshold)
-        members, counts = _counted(links, lists, units, size, threshold)
-        if _audited(units, counts, threshold) >= RECALL:
+        members, counts, crowded = _counted(links, lists, units, size, threshold)
+        if _audited(units, members, crowded, counts, threshold) >= RECALL:
             break
         size *= 2
+    else:
+        members, counts = _compared(units, total, threshold)
     known = units.select("id", "copies").join(members, "id", "left").join(counts, "id", "left")
     known = known.join(nodes.select("id", "vec"), "id").select("vec", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     out = rows.join(known, "vec", "left")

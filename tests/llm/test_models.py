@@ -105,6 +105,21 @@ def test_near_vectors_between_saturated_families(spark, monkeypatch, block, cent
     assert found == plain_links(rows)
 
 
+def test_near_vectors_audit_is_not_decided_by_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ENLARGED", 0)
+    monkeypatch.setattr(neighbours, "WHOLE", 50)
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=32)
+    rows = [(hot + 0.01 * rng.normal(size=32)).tolist() for _ in range(150)]
+    pairs = [v + d for v in rng.normal(size=(20, 32)) for d in (0, 0.01 * rng.normal(size=32))]
+    rows = list(enumerate(rows + [v.tolist() for v in pairs]))
+    # lists that know the hot group only, as if the search had missed every pair
+    plain = neighbours._refine
+    monkeypatch.setattr(neighbours, "_refine", lambda *a: (plain(*a)[0].where("id < 150"), 0))
+    found = sorted(tuple(r) for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert found == plain_links(rows)
+
+
 def test_near_vectors_repeated_and_empty(spark):
     v = [1.0, 2.0, 3.0]
     vectors = spark.createDataFrame([(4, v), (4, v), (6, [2.0, 4.0, 6.0]), (None, v)], "vec_id long, embedding array<double>")
