@@ -41,7 +41,7 @@ def balanced_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
     numbered = ranged.select("*", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("b"), (F.row_number().over(inside) - 1).alias("r"))
     placed = numbered.join(F.broadcast(starts), "part").select(
         "id", "size", "text_crc32", (F.col("rows_before") + F.col("r")).alias("place"),
-        F.floor((2 * (F.col("bytes_before") + F.col("b")) + F.col("size")).cast("decimal(38,0)") * shards / (2 * F.col("total"))).cast("int").alias("shard"),
+        F.expr(f"(cast(2 * (bytes_before + b) + size as decimal(38,0)) * {int(shards)}) div (2 * total)").cast("int").alias("shard"),  # no rounding
     )
     placed = kept(placed, "shard-places")
     firsts = placed.groupBy("shard").agg(F.min("place").alias("first"))  # one row for each shard

@@ -126,6 +126,20 @@ def test_shards(spark):
     assert sharding.balanced_shards(frame(spark, []), 4).count() == 0
 
 
+def test_shards_of_a_large_total_and_a_short_last_row(spark, monkeypatch):
+    monkeypatch.setattr(sharding.F, "octet_length", lambda body: body.cast("long") - 1)  # texts give their size
+    total = 30_000_000_000
+    rows = [(i, str((total - 1000) // 30)) for i in range(30)]
+    rows[-1] = (29, str(total - 1000 - 29 * ((total - 1000) // 30)))
+    rows.append((30, "1000"))
+    found = {r.doc_id: (r["size"], r.shard) for r in sharding.balanced_shards(frame(spark, rows), 16).collect()}
+    want, before = {}, 0
+    for i, size in rows:
+        want[i] = (int(size), (2 * before + int(size)) * 16 // (2 * total))
+        before += int(size)
+    assert before == total and found == want and want[30][1] == 15
+
+
 def test_shards_are_balanced(spark):
     sizes = [r.b for r in registered.op5_balanced_shards(spark, SF).groupBy("shard").agg({"size": "sum"}).withColumnRenamed("sum(size)", "b").collect()]
     longest = max(len((t or "").encode()) for _, t in table_rows(spark))
