@@ -119,18 +119,28 @@ def joined(key: np.ndarray, first: np.ndarray, past: np.ndarray) -> tuple[np.nda
     return key[at], first[at], reach[np.append(at[1:], len(key)) - 1]
 
 
+def numbered(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number of each text, in the order of (id, row), and the id and row of each number."""
+    order = np.lexsort((rows, ids))
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[order][1:] != ids[order][:-1]) | (rows[order][1:] != rows[order][:-1])
+    own = np.empty(len(ids), np.int64)
+    own[order] = np.cumsum(new) - 1
+    return own, ids[order][new], rows[order][new]
+
+
 def _digit_rows(width: int):
-    """Rows (digit, digest, id, first, past, kind) of whole texts.  Of equal runs in a piece only the earliest is passed on as such;
+    """Rows (digit, digest, id, row, first, past, kind) of whole texts.  Of equal runs in a piece only the earliest is passed on as such;
     the bytes of the others are gone at once, so a hot run costs a row a piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for top, _, data, offsets in text_pieces(batch.column(1)):
+            number, ids, rows = numbered(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            for top, _, data, offsets in text_pieces(batch.column(2)):
                 digit, digest, row, first, past, periodic = first_digits(data, offsets, width)
                 if not len(digit):
                     continue
-                own = ids[top + row]
+                own = number[top + row]
                 order = np.lexsort((first, own, digest, digit))
                 digit, digest, own, first, past, periodic = (x[order] for x in (digit, digest, own, first, past, periodic))
                 late = np.zeros(len(digit), bool)
@@ -139,9 +149,9 @@ def _digit_rows(width: int):
                 live = ~late
                 a, b = int(live.sum()), len(gone[0])
                 columns = [
-                    np.concatenate([digit[live].view(np.int64), mix(gone[0].astype(np.uint64) + gone[1].astype(np.uint64) * _BASE).view(np.int64)]),
+                    np.concatenate([digit[live].view(np.int64), mix(ids[gone[0]].astype(np.uint64) + gone[1].astype(np.uint64) * _BASE).view(np.int64)]),
                     np.concatenate([digest[live].view(np.int64), np.zeros(b, np.int64)]),
-                    np.concatenate([own[live], gone[0]]), np.concatenate([first[live], gone[1]]).astype(np.int32), np.concatenate([past[live], gone[2]]).astype(np.int32),
+                    ids[whose := np.concatenate([own[live], gone[0]])], rows[whose], np.concatenate([first[live], gone[1]]).astype(np.int32), np.concatenate([past[live], gone[2]]).astype(np.int32),
                     np.concatenate([np.where(periodic[live], PERIODIC, PLAIN), np.full(b, GONE)]).astype(np.int32),
                 ]
                 for i in range(0, a + b, 50_000):
@@ -150,18 +160,19 @@ def _digit_rows(width: int):
     return run
 
 
-DIGITS = ["digit", "digest", "id", "first", "past", "kind"]
+DIGITS = ["digit", "digest", "id", "row", "first", "past", "kind"]
 
 
 def _split_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by digit: spans to remove (cells 0), and the runs whose digit needs sorting on, with the cells of that digit."""
     for table, _ in whole_groups(batches, 1):
-        digit, digest, ids, first, past, kind = (table.column(c).to_numpy() for c in DIGITS)
+        digit, digest, ids, rows, first, past, kind = (table.column(c).to_numpy() for c in DIGITS)
+        own, ids, rows = numbered(ids, rows)
         gone = kind == GONE
-        spans = [(ids[gone], first[gone], past[gone])]
+        spans = [(own[gone], first[gone], past[gone])]
         rest = np.flatnonzero(~gone)
-        order = rest[np.lexsort((first[rest], ids[rest], digest[rest], digit[rest]))]
-        digit, digest, ids, first, past, kind = (x[order] for x in (digit, digest, ids, first, past, kind))
+        order = rest[np.lexsort((first[rest], own[rest], digest[rest], digit[rest]))]
+        digit, digest, own, first, past, kind = (x[order] for x in (digit, digest, own, first, past, kind))
         if len(digit):
             new_digit = np.ones(len(digit), bool)
             new_digit[1:] = digit[1:] != digit[:-1]
@@ -169,30 +180,30 @@ def _split_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             new_run[1:] |= digest[1:] != digest[:-1]
             # a later equal run goes; the same place may be listed twice where a row is repeated
             lead = np.maximum.accumulate(np.where(new_run, np.arange(len(digit)), 0))
-            late = (ids != ids[lead]) | (first != first[lead])
-            spans.append((ids[late], first[late], past[late]))
+            late = (own != own[lead]) | (first != first[lead])
+            spans.append((own[late], first[late], past[late]))
             group = np.cumsum(new_digit) - 1
             runs = np.bincount(group, weights=new_run).astype(np.int64)
             odd = np.bincount(group, weights=new_run & (kind == PERIODIC)) > 0
             on = new_run & ((runs > 1) | odd)[group]
             cells = -(-runs // CELL_CONTEXTS)
-        gone_id, gone_first, gone_past = joined(*(np.concatenate([s[i] for s in spans]) for i in range(3)))
-        n = len(gone_id)
+        gone_own, gone_first, gone_past = joined(*(np.concatenate([s[i] for s in spans]) for i in range(3)))
+        n = len(gone_own)
         more = np.flatnonzero(on) if len(digit) else np.zeros(0, np.int64)
         columns = [
-            np.concatenate([gone_id, ids[more]]), np.concatenate([gone_first, first[more]]).astype(np.int32), np.concatenate([gone_past, past[more]]).astype(np.int32),
+            ids[whose := np.concatenate([gone_own, own[more]])], rows[whose], np.concatenate([gone_first, first[more]]).astype(np.int32), np.concatenate([gone_past, past[more]]).astype(np.int32),
             np.concatenate([np.zeros(n, np.int64), digit[more]]), np.concatenate([np.zeros(n, np.int64), cells[group[more]] if len(more) else np.zeros(0, np.int64)]),
         ]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "first", "past", "digit", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "row", "first", "past", "digit", "cells"])
 
 
 def _contexts(width: int):
-    """Rows (digit, cell, cells, id, first, context) for the runs asked for; a digit of several cells sends a run to each cell
+    """Rows (digit, cell, cells, id, row, first, context) for the runs asked for; a digit of several cells sends a run to each cell
     that one of its windows falls in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, asked = batch.column("id").to_pylist(), batch.column("asked").to_pylist()
+            ids, rows, asked = (batch.column(c).to_pylist() for c in ("id", "row", "asked"))
             out: list[tuple] = []
             for top, end, data, offsets in text_pieces(batch.column("text")):
                 for r in range(top, end):
@@ -200,11 +211,11 @@ def _contexts(width: int):
                     for q in asked[r]:
                         own = text[q["first"]:q["past"]]
                         cells = [0] if q["cells"] == 1 else np.unique(window_cells(own, width, q["cells"])).tolist()
-                        out += [(q["digit"], c, q["cells"], ids[r], q["first"], own.tobytes()) for c in cells]
+                        out += [(q["digit"], c, q["cells"], ids[r], rows[r], q["first"], own.tobytes()) for c in cells]
             for i in range(0, len(out), 10_000):
                 columns = list(zip(*out[i:i + 10_000], strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["digit", "cell", "cells", "id", "first", "context"])
+                kinds = [*[pa.int64()] * 5, pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["digit", "cell", "cells", "id", "row", "first", "context"])
 
     return run
 
@@ -240,7 +251,8 @@ def radix_passes(data: np.ndarray, starts: np.ndarray, group: np.ndarray, width:
 def _sort_windows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, 2):
-            ids, first, cell, cells = (table.column(c).to_numpy() for c in ("id", "first", "cell", "cells"))
+            ids, rows, first, cell, cells = (table.column(c).to_numpy() for c in ("id", "row", "first", "cell", "cells"))
+            own, ids, rows = numbered(ids, rows)
             texts = table.column("context").to_pylist()
             sizes = np.array([len(t) for t in texts])
             data = np.frombuffer(b"".join(texts), np.uint8)
@@ -253,7 +265,7 @@ def _sort_windows(width: int):
                 owner, place = owner[keep], place[keep]
             group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[owner]
             which, equal = radix_passes(data, base[owner] + place, group, width)
-            doc, at = ids[owner[which]], first[owner[which]] + place[which]
+            doc, at = own[owner[which]], first[owner[which]] + place[which]
             order = np.lexsort((at, doc, equal))
             doc, at, equal = doc[order], at[order], equal[order]
             new = np.ones(len(doc), bool)
@@ -261,7 +273,7 @@ def _sort_windows(width: int):
             lead = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
             late = (doc != doc[lead]) | (at != at[lead])
             d, a, b = joined(doc[late], at[late], at[late] + width)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["id", "first", "past"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(rows[d]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["id", "row", "first", "past"])
 
     return run
 
@@ -285,9 +297,20 @@ def _cut(texts: pa.Array, spans: pa.Array) -> Iterator[tuple[int, list[tuple[int
             yield len(own), list(zip(a.tolist(), b.tolist(), strict=True)), b"".join([*left, own[done:].tobytes()])
 
 
-def repeated_spans(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, first, past): byte spans of the texts that are covered by strings of ``width`` bytes which also start earlier, in a text of a
-    smaller id or before in the same text.  Spans of a text may overlap.
+def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(own, id, row, text): own is the id as given, and (id, row) a key of the text.  The row is a hash of the text, so rows of equal ids and texts
+    are one text; a row without an id is a text of its own, with a number fixed by writing these rows once."""
+    spark = docs.sparkSession
+    own, text = named(id_col), named(text_col).alias("text")
+    given = docs.where(own.isNotNull()).select(own.alias("own"), own.cast("long").alias("id"), F.xxhash64(named(text_col)).alias("row"), text)
+    bare = docs.where(own.isNull()).select(own.alias("own"), F.lit(-(1 << 63)).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), text)
+    prepare(spark)
+    return given.union(kept(bare, "repeats-bare"))
+
+
+def repeated_spans(rows: DataFrame, width: int = 100) -> DataFrame:
+    """(id, row, first, past): byte spans of ``text_rows`` that are covered by strings of ``width`` bytes which also start earlier, in a text of a
+    smaller (id, row) or before in the same text.  Spans of a text may overlap.
 
     All suffixes are sorted by their first ``width`` bytes, most significant digit first.  The first digit is the least hash among the
     parts of a window, which neighbouring windows share: a shuffle by it carries one row for each run of windows.  A digit of one run is
@@ -295,26 +318,23 @@ def repeated_spans(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     their bytes, in passes of eight bytes within the digit, which end with the groups of equal windows.
 
     A digit of very many runs is dealt over cells by window, and equal runs of a piece of input are one row, so no group grows with
-    the copies of a passage.  Null and short texts have no spans; rows of one id are one text; a null id counts as the smallest."""
-    spark = docs.sparkSession
-    key = F.coalesce(named(id_col).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(key.alias("id"), named(text_col).alias("text"))
-    prepare(spark)
-    digits = rows.mapInArrow(_digit_rows(width), "digit long, digest long, id long, first int, past int, kind int")
-    split = digits.repartition("digit").sortWithinPartitions("digit").mapInArrow(_split_digits, "id long, first int, past int, digit long, cells long")
+    the copies of a passage.  Null and short texts have no spans; rows of one id and text are one text, other rows of one id are texts apart; a null id
+    counts as the smallest."""
+    digits = rows.select("id", "row", "text").mapInArrow(_digit_rows(width), "digit long, digest long, id long, row long, first int, past int, kind int")
+    split = digits.repartition("digit").sortWithinPartitions("digit").mapInArrow(_split_digits, "id long, row long, first int, past int, digit long, cells long")
     split = kept(split, "repeats-digits")
-    asked = split.where("cells > 0").groupBy("id").agg(F.collect_list(F.struct("first", "past", "digit", "cells")).alias("asked"))
-    contexts = rows.join(asked, "id").select("id", "text", "asked").mapInArrow(_contexts(width), "digit long, cell long, cells long, id long, first int, context binary")
-    sorted_ = contexts.repartition("digit", "cell").sortWithinPartitions("digit", "cell").mapInArrow(_sort_windows(width), "id long, first int, past int")
-    return split.where("cells = 0").select("id", "first", "past").union(kept(sorted_, "repeats-windows"))
+    asked = split.where("cells > 0").groupBy("id", "row").agg(F.collect_list(F.struct("first", "past", "digit", "cells")).alias("asked"))
+    contexts = rows.join(asked, ["id", "row"]).select("id", "row", "text", "asked").mapInArrow(_contexts(width), "digit long, cell long, cells long, id long, row long, first int, context binary")
+    sorted_ = contexts.repartition("digit", "cell").sortWithinPartitions("digit", "cell").mapInArrow(_sort_windows(width), "id long, row long, first int, past int")
+    return split.where("cells = 0").select("id", "row", "first", "past").union(kept(sorted_, "repeats-windows"))
 
 
 def without_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, removed, kept_sha256) for each row of ``docs``: ``removed`` are the maximal byte spans that repeat (see
     ``repeated_spans``), the digest is of the bytes left.  A null text is empty, an empty table gives no rows, other columns are ignored."""
-    spans = repeated_spans(docs, width, id_col, text_col).groupBy("id").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
-    key = F.coalesce(named(id_col).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(named(id_col).alias("own"), key.alias("id"), named(text_col).alias("text")).join(spans, "id", "left").select("own", "text", "spans")
+    rows = text_rows(docs, id_col, text_col)
+    spans = repeated_spans(rows, width).groupBy("id", "row").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
+    rows = rows.join(spans, ["id", "row"], "left").select("own", "text", "spans")
     kind = rows.schema["own"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

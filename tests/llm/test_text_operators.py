@@ -246,6 +246,23 @@ def test_repeats_odd_rows(spark):
     assert repeats.without_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("cells", [20_000, 2])
+def test_repeats_of_rows_that_share_an_id(spark, monkeypatch, cells):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(repeats, "CELL_CONTEXTS", cells)
+    shared, copy = text(2, 40), text(4, 50)
+    rows = [(7, text(5, 60) + shared + text(6, 10)), (7, "short"), (7, text(8, 90)), (3, text(9, 30) + shared), (8, shared + "!"), (8, text(5, 60))]
+    hashed = frame(spark, rows).select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = [(r.doc_id, r.text) for r in sorted(hashed, key=lambda r: (r.doc_id, r.h))]
+    plain = [(order[r[0]][0], *r[1:]) for r in brute.repeated_bytes([(i, t) for i, (_, t) in enumerate(order)])]
+    assert removed(repeats.without_repeats(frame(spark, rows))) == sorted(plain)
+    bare = [(None, copy), (None, copy), (None, "short"), (None, "z" * 30 + text(11, 200)), (4, copy)]
+    n = len(copy.encode())
+    found = sorted((r.n_bytes, sum(s["past"] - s["first"] for s in r.removed)) for r in repeats.without_repeats(frame(spark, bare)).collect())
+    assert found == sorted([(n, 0), (n, n), (n, n), (5, 0), (len(bare[3][1].encode()), 0)])
+
+
 def test_radix_passes_find_equal_windows():
     import numpy as np
 
