@@ -90,6 +90,7 @@ def test_near_vectors(spark, monkeypatch, block):
 
 @pytest.mark.parametrize(("block", "centres"), [(1024, 4096), (8, 2)])
 def test_near_vectors_between_saturated_families(spark, monkeypatch, block, centres):
+    monkeypatch.setattr(neighbours, "ENLARGED", 0)  # longer lists would hold both families
     monkeypatch.setattr(neighbours, "BLOCK", block)
     monkeypatch.setattr(neighbours, "CENTRES", centres)
     rng = np.random.default_rng(3)
