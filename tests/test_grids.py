@@ -1,8 +1,7 @@
 """Sheets read from cells, and matrices aligned to contracts."""
 
-from conftest import grid_cells
-
 from pyspark.sql import functions as F
+from sheets import grid_cells
 
 from tabweave.operators import alignment, grid
 from tabweave.session import cut_lineage
