@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, fixity, languages, near_duplicates, neighbours, ngrams, packing, quality, repeats, secrets, sharding
+from . import common, decontamination, fixity, languages, near_duplicates, neighbours, ngrams, packing, quality, repeats, secrets, sharding, spellings, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -130,3 +130,49 @@ def op9_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at a cosine of 0.9."""
     return neighbours.near_vectors(common.table(spark, sf_dir, "embeddings"), 0.9)
+
+
+@query
+def op12_resynchronised_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    found = token_counts.count_tokens(common.table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc.doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+#: CRC-32 byte by byte over a list of bytes; the table is made by the rule of the polynomial.
+SQL["op13_partenum_spellings"] = f"""
+with recursive tab as (
+    select list(v order by i) t from (
+        select i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda c, z: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) v from range(256) r(i))
+), run as (
+    select coalesce(cast(doc_id as varchar), '') id, {LOWER.format("unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+'))")} w from documents
+), own as (
+    select id, w, count(*) k from run where length(w) >= 7 group by 1, 2
+), sum as (
+    select w, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(id || ':' || w)), lambda i: cast('0x' || substr(hex(encode(id || ':' || w)), cast(2 * i + 1 as int), 2) as bigint))),
+        lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) h
+    from own, tab
+), cut as (
+    select case when h % 31 = 0 then substr(w, 1, cast(h % length(w) as int)) || substr(w, cast(h % length(w) as int) + 2) else w end word, k from sum
+), word as materialized (
+    select word, cast(sum(k) as bigint) n from cut where length(word) >= 7 group by 1 having sum(k) >= 2
+), less as materialized (
+    select word, i, substr(word, 1, cast(i as int)) || substr(word, cast(i as int) + 2) d from (select word, unnest(range(0, length(word))) i from word)
+), pair as materialized (
+    select a.word, b.word near from less a join less b on a.i = b.i and a.d = b.d and a.word <> b.word
+    union select less.word, word.word from less join word on less.d = word.word
+    union select word.word, less.word from less join word on less.d = word.word
+), best as (
+    select pair.word, count(*) n_near, min(row(-n, near)) b from pair join word on word.word = near group by 1
+), form as materialized (
+    select word, n, coalesce(n_near, 0) n_near, case when -b[1] >= 10 * n then b[2] end form, case when -b[1] >= 10 * n then -b[1] end form_n from word left join best using (word)
+), chain as (
+    select word, word root from form union all select chain.word, form.form from chain join form on form.word = chain.root where form.form is not null
+)
+select form.word, form, root, n, n_near, form_n from form join chain using (word) where root in (select word from form where form is null)"""
+
+
+@query
+def op13_partenum_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spellings.spelling_groups(common.table(spark, sf_dir, "documents"))

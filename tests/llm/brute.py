@@ -119,3 +119,51 @@ def repeated_bytes(docs, width=100):
         spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
         out.append((d, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone, strict=True) if not g))))
     return out
+
+
+LETTERS = re.compile("[A-Za-zÀ-ÿ]+")
+
+
+def spelling_words(docs):
+    n = {}
+    for d, text in docs:
+        for run in LETTERS.findall(text or ""):
+            w = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
+            if h % 31 == 0:
+                w = w[:h % len(w)] + w[h % len(w) + 1:]
+            if len(w) >= 7:
+                n[w] = n.get(w, 0) + 1
+    return {w: k for w, k in n.items() if k >= 2}
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1 or a == b:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[i + (len(a) == len(b)):] == b[i + 1:]
+
+
+def spelling_groups(docs):
+    n = spelling_words(docs)
+    lists = {}
+    for w in n:
+        for s in {w, *(w[:i] + w[i + 1:] for i in range(len(w)))}:
+            lists.setdefault(s, set()).add(w)
+    near = {w: set() for w in n}
+    for own in lists.values():
+        for a in own:
+            near[a] |= {b for b in own if one_edit(a, b)}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= 10 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), form[w] and n[form[w]]))
+    return sorted(out, key=lambda r: r[0])
