@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontamination, fixity, languages, near_duplicates, neighbours, ngrams, packing, quality, repeats, secrets, sharding, spellings, token_counts
+from . import common, decontamination, fixity, languages, near_duplicates, neighbours, ngrams, packing, phrases, quality, repeats, secrets, sharding, spellings, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -132,6 +132,37 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_vectors(common.table(spark, sf_dir, "embeddings"), 0.9)
 
 
+SQL["op11_rabin_karp_phrases"] = rf"""
+with piece as (
+    select doc_id, coalesce(lang, 'und') lang, unnest(regexp_split_to_array({LOWER.format("text")}, '[.,;:!?
+-]')) p from documents
+), word as (
+    select lang, regexp_extract_all(p, '[^ 	]+') w from piece
+), total as (
+    select lang, cast(sum(len(w)) as bigint) n from word group by 1
+), gram as materialized (
+    select lang, k, array_to_string(w[i:i + k - 1], ' ') phrase, count(*) a
+    from (select lang, w, k, unnest(range(1, len(w) - k + 2)) i from word, range(1, 6) r(k)) group by 1, 2, 3 having count(*) >= 100
+), inner_one as (
+    select lang, a, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:k], ' ')]) phrase from (select *, string_split(phrase, ' ') w from gram where k > 2)
+), cut as (
+    select lang, phrase, a, c, array_to_string(w[1:c], ' ') head, array_to_string(w[c + 1:k], ' ') tail
+    from (select *, string_split(phrase, ' ') w, unnest(range(1, k)) c from gram where k > 1 and (lang, phrase, a) not in (select lang, phrase, a from inner_one))
+), scored as (
+    select lang, cut.phrase, cut.a, l.a l, r.a r, n, c, cast(cast(1000 as hugeint) * cut.a * n // (cast(l.a as hugeint) * r.a) as bigint) score
+    from cut join total using (lang) join gram l using (lang) join gram r using (lang) where l.phrase = head and r.phrase = tail
+), worst as (
+    select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) rank, phrase, a, l, r, n, score from worst qualify rank <= 2000"""
+
+
+@query
+def op11_rabin_karp_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first collocations of each language in all documents."""
+    return phrases.collocations(common.table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_resynchronised_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""

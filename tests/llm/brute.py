@@ -167,3 +167,32 @@ def spelling_groups(docs):
             root = form[root]
         out.append((w, form[w], root, n[w], len(near[w]), form[w] and n[form[w]]))
     return sorted(out, key=lambda r: r[0])
+
+
+def collocations(rows, most=2000, least=100):
+    """``rows`` of (text, lang)."""
+    f, n = {}, {}
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall("[^\x20\x09]+", piece)
+            n[lang] = n.get(lang, 0) + len(w)
+            for k in range(1, 6):
+                for i in range(len(w) - k + 1):
+                    key = (lang, tuple(w[i:i + k]))
+                    f[key] = f.get(key, 0) + 1
+    f = {key: a for key, a in f.items() if a >= least}
+    inside = set()
+    for (lang, w), a in f.items():
+        for k in range(2, len(w)):
+            inside |= {(lang, w[i:i + k], a) for i in range(len(w) - k + 1)}
+    out = []
+    for lang in n:
+        own = []
+        for (x, w), a in f.items():
+            if x == lang and len(w) > 1 and not any((lang, w, b) in inside for b in [a]):
+                cuts = [(1000 * a * n[lang] // (f[lang, w[:k]] * f[lang, w[k:]]), k) for k in range(1, len(w))]
+                score, k = min(cuts)
+                own.append((-score, -a, " ".join(w).encode(), f[lang, w[:k]], f[lang, w[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for i, (s, a, p, left, right) in enumerate(sorted(own)[:most])]
+    return sorted(out)

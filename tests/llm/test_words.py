@@ -4,10 +4,11 @@ import random
 
 import brute
 import duckdb
+import pyarrow as pa
 import pytest
 import sentencepiece
 
-from tabweave.llm import common, spellings, token_counts
+from tabweave.llm import common, phrases, spellings, token_counts
 from tabweave.llm import queries as registered
 
 SF = "/root/testdata/sf0.001"
@@ -96,3 +97,56 @@ def test_spelling_query(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
     assert sorted(con.execute(registered.SQL["op13_partenum_spellings"]).fetchall(), key=lambda r: r[0]) == got
+
+
+# -------------------------------------------------------------------- phrases
+
+def phrase_rows():
+    rng = random.Random(3)
+    few = ["a", "B", "of the", "été", "x\x00y", "New York", "日本", "t\tu", "\x0b", "..", "; ", "a a a"]
+    rows = [(" ".join(rng.choice(few) for _ in range(rng.randint(0, 60))), rng.choice(["en", "fr", None, "und", ""])) for _ in range(120)]
+    rows += [(None, "en"), ("", None), ("one", None), ("same text again and again " * 3, "de")] + [("same text again and again " * 3, "de")] * 4
+    return rows + [("long winded, " * 200_000, "de"), ("ab" * 30_000 + " end", "de")]
+
+
+def phrase_frame(spark, rows):
+    return spark.createDataFrame([(*r, None, None, None, None) for r in rows], "text string, lang string, doc int, key long, fp long, k long")
+
+
+@pytest.mark.parametrize("bits, most, least", [(27, 2000, 3), (8, 5, 2)])
+def test_collocations(spark, bits, most, least):
+    rows = phrase_rows()
+    got = sorted(tuple(r) for r in phrases.collocations(phrase_frame(spark, rows), most, least=least, bits=bits).collect())
+    assert got == brute.collocations(rows, most, least) and len(got) > 20
+
+
+def test_collocations_of_nothing(spark):
+    assert phrases.collocations(phrase_frame(spark, [])).collect() == []
+    assert phrases.collocations(phrase_frame(spark, [(None, None), ("", "en"), (" . ", "en")])).collect() == []
+
+
+def test_long_texts_in_stretches(monkeypatch):
+    """Stretches of a text give the same fingerprints as the whole text."""
+    rng = random.Random(8)
+    text = "".join(rng.choice(["word ", "a", ", ", " é", "longer\t", "." * 50, " " * 70]) for _ in range(3000)).encode()
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([text.decode()])], ["lang", "text"])
+    found = []
+    for stretch, ahead in ((1 << 20, 1 << 12), (100, 7)):
+        monkeypatch.setattr(phrases, "STRETCH", stretch)
+        monkeypatch.setattr(phrases, "AHEAD", ahead)
+        monkeypatch.setattr(common, "PIECE_BYTES", stretch)
+        own = []
+        for _, grams, past in phrases._grams(batch, (phrases.Polynomials(0),)):
+            for k in range(1, 6):
+                at = grams.starts(k)
+                own += grams.prints(k, at[grams.first[at] < past]).tolist()
+        found.append(sorted(own))
+    assert found[0] == found[1] and len(found[0]) > 3000
+
+
+def test_phrase_query(spark):
+    got = sorted(tuple(r) for r in registered.QUERIES["op11_rabin_karp_phrases"](spark, SF).collect())
+    assert got == brute.collocations([(r.text, r.lang) for r in common.table(spark, SF, "documents").select("text", "lang").collect()]) and got
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    assert sorted(con.execute(registered.SQL["op11_rabin_karp_phrases"]).fetchall()) == got
