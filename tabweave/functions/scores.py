@@ -41,7 +41,7 @@ def domain_score(left, right) -> Column:
     return out
 
 
-def _rule_words() -> list[str]:
+def rule_words() -> list[str]:
     """Words without which no domain rule can fit: one of each phrase rule, and the
     bands.  A word never straddles two labels, so one label must carry it."""
     return [*dict.fromkeys(rule["every"][0].split()[-1] for rule in PHRASE_RULES), *BAND_RULES]
@@ -49,31 +49,11 @@ def _rule_words() -> list[str]:
 
 def may_fit_rule(text) -> Column:
     out = F.lit(False)
-    for word in _rule_words():
+    for word in rule_words():
         out = out | _col(text).contains(word)
     return out
 
 
-def prepared(normalized) -> Column:
-    """array<struct<n, t, hot>> of normalized labels: text, words, and whether a
-    domain rule may apply; computed once where labels meet many others."""
-    return F.transform(_col(normalized), lambda v: F.struct(v.alias("n"), tokens(v).alias("t"), may_fit_rule(v).alias("hot")))
-
-
-def prepared_score(a, b) -> Column:
-    """The current soft score of two prepared labels."""
-    same = F.when(a["n"] == b["n"], 1.0).when(a["n"].contains(b["n"]) | b["n"].contains(a["n"]), 0.9).otherwise(overlap(a["t"], b["t"]))
-    ruled = F.when(domain_score(a["n"], b["n"]) > 0, domain_score(a["n"], b["n"])).otherwise(same)
-    return F.when((a["n"] == "") | (b["n"] == ""), 0.0).when(a["hot"] | b["hot"], ruled).otherwise(same)
-
-
-def prepared_coverage(labels, choices) -> Column:
-    """Share of the non-blank prepared labels found in the prepared choices."""
-    required = F.filter(_col(labels), lambda v: v["n"] != "")
-    found = F.filter(required, lambda v: F.exists(_col(choices), lambda c: prepared_score(v, c) >= COVERED))
-    return F.when(F.size(required) > 0, F.size(found) / F.size(required)).otherwise(0.0)
-
-
 def overlap(left_tokens, right_tokens) -> Column:
     """Shared words over the larger word count; 0 when a side has none."""
     a, b = _col(left_tokens), _col(right_tokens)

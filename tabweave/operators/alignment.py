@@ -1,22 +1,25 @@
 """Aligning a source table with the axes of a contract.
 
-Axes are arrays of labels of one table, so a pair of axes is one row and its
-alignment stays inside Spark's expressions; values stay in long cells and are
+Axes are long: one row for each label, with its contract, axis and place.  Labels find their choices contract by contract
+(``labels.map_labels``); order, growth and places are joins and windows over these rows, and values stay in long cells that are
 joined to the aligned axes.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numbers import is_meaningful_format, let
-from ..functions.scores import prepared, prepared_coverage, prepared_score
+from ..functions.numbers import is_meaningful_format
 from ..functions.text import norm_label, series_key
+from ..session import cut_lineage
+from .labels import map_labels
 
 SERIES_ROWS = "series_rows_categories_columns"
 _SOURCE_SERIES_ROWS = (SERIES_ROWS, "single_series_row_categories_columns")
-_LABEL_MAP = "struct<used: array<string>, out: array<struct<label: string, choice: string>>>"
 
 
 def _c(x) -> Column:
@@ -27,81 +30,6 @@ def normed(labels) -> Column:
     return F.transform(_c(labels), lambda v: norm_label(v))
 
 
-def label_map(labels, keys, choices, choice_keys) -> Column:
-    """array<struct<label, choice>>: in label order the best choice not used yet;
-    the best one again when all are used.  Ties go to the earlier choice.
-
-    ``keys`` and ``choice_keys`` are the prepared labels of both sides."""
-    options = F.zip_with(_c(choice_keys), _c(choices), lambda k, c: F.struct(k.alias("k"), c.alias("c")))
-    entries = F.zip_with(_c(keys), _c(labels), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
-    ranked = F.transform(entries, lambda e: F.struct(e["v"].alias("label"), F.array_sort(F.transform(options, lambda o, i: F.struct(
-        (-prepared_score(e["k"], o["k"])).alias("s"), i.alias("i"), o["k"]["n"].alias("n"), o["c"].alias("c")))).alias("opts")))
-
-    def step(acc, entry):
-        free = F.get(F.filter(entry["opts"], lambda o: ~F.array_contains(acc["used"], o["n"])), F.lit(0))
-        pick = F.coalesce(free, F.get(entry["opts"], F.lit(0)))
-        return let(pick, lambda p: F.struct(
-            F.when(p.isNull(), acc["used"]).otherwise(F.array_append(acc["used"], p["n"])).alias("used"),
-            F.array_append(acc["out"], F.struct(entry["label"].alias("label"), p["c"].alias("choice"))).alias("out")))
-
-    empty = F.from_json(F.lit('{"used": [], "out": []}'), _LABEL_MAP)
-    return F.aggregate(ranked, empty, step)["out"]
-
-
-def mapped(map_, label) -> Column:
-    """Choice of a label; the last entry counts when a label occurs twice."""
-    return F.try_element_at(F.filter(_c(map_), lambda m: m["label"] == label), F.lit(-1))["choice"]
-
-
-def axis_mode(rows, cols, source_rows, source_cols, forced: str | None = None) -> Column:
-    """'cross' when the crossed axes cover strictly more, unless forced.  All four
-    are prepared labels."""
-    if forced in ("transpor", "manter"):
-        return F.lit("cross" if forced == "transpor" else "same")
-    same = prepared_coverage(rows, source_rows) + prepared_coverage(cols, source_cols)
-    cross = prepared_coverage(rows, source_cols) + prepared_coverage(cols, source_rows)
-    return F.when(cross > same, "cross").otherwise("same")
-
-
-def source_order(labels, map_, source_labels) -> Column:
-    """Labels in the order of the source labels they map to, unmapped ones last."""
-    keys = normed(source_labels)
-
-    def order(ks):
-        placed = F.transform(_c(labels), lambda v, i: F.struct(
-            let(norm_label(F.coalesce(F.nullif(mapped(map_, v), F.lit("")), v)), lambda key: F.coalesce(
-                F.array_max(F.filter(F.transform(ks, lambda k, j: F.when(k == key, j)), lambda x: x.isNotNull())), F.size(ks))).alias("p"),
-            i.alias("i"), v.alias("v")))
-        return F.transform(F.array_sort(placed), lambda s: s["v"])
-
-    return let(keys, order)
-
-
-def grow_axis(labels, map_, source_labels) -> Column:
-    """Source labels in order, each under the contract's own name when it has one,
-    then the contract's remaining labels."""
-    own = lambda s: F.coalesce(F.try_element_at(F.filter(_c(map_), lambda m: (norm_label(m["choice"]) == norm_label(s)) & (norm_label(s) != "")), F.lit(-1))["label"], s)
-    everything = F.concat(F.transform(_c(source_labels), own), _c(labels))
-    keyed = F.filter(F.transform(everything, lambda v: F.struct(norm_label(v).alias("n"), v.alias("v"))), lambda s: s["n"] != "")
-    return let(keyed, lambda ks: F.transform(
-        F.filter(ks, lambda s, i: F.array_position(F.transform(ks, lambda x: x["n"]), s["n"]) == i + 1), lambda s: s["v"]))
-
-
-def fill_blank_labels(labels, candidates) -> Column:
-    """Blank labels replaced by unused candidates in order, an NPS one first."""
-    ls, cs = _c(labels), _c(candidates)
-    used = F.filter(normed(ls), lambda v: v != "")
-    pool = F.filter(F.transform(cs, lambda v, i: F.struct((norm_label(v) != "NPS").cast("int").alias("nps"), i.alias("i"), norm_label(v).alias("n"), v.alias("v"))), lambda s: s["n"] != "")
-
-    def fill(free):
-        # the k-th blank takes the k-th unused candidate with a key of its own
-        distinct = F.filter(free, lambda s, i: F.array_position(F.transform(free, lambda x: x["n"]), s["n"]) == i + 1)
-        blanks = lambda i: F.size(F.filter(F.slice(ls, 1, i + 1), lambda v: norm_label(v) == ""))
-        return F.transform(ls, lambda v, i: F.when(norm_label(v) != "", v).otherwise(F.coalesce(F.get(distinct, blanks(i) - 1)["v"], v)))
-
-    return let(F.array_sort(F.filter(pool, lambda s: ~F.array_contains(used, s["n"]))), fill)
-
-
 def source_axes(df: DataFrame) -> DataFrame:
     """source_rows and source_cols of each table by its orientation."""
     by_series = F.col("source_orientation").isin(*_SOURCE_SERIES_ROWS)
@@ -109,72 +37,120 @@ def source_axes(df: DataFrame) -> DataFrame:
         "source_cols", F.when(by_series, F.col("source_categories")).otherwise(F.col("source_series")))
 
 
-def target_axes(df: DataFrame) -> DataFrame:
-    """Row and column labels a contract expects; blanks are filled from the source,
-    and a missing axis is the source's own."""
-    s_first = F.concat("source_series", "source_categories")
-    c_first = F.concat("source_categories", "source_series")
-    series_rows = F.col("orientation") == SERIES_ROWS
-    series = F.when(F.exists("series", lambda v: norm_label(v) == ""), fill_blank_labels("series", s_first)).otherwise(F.col("series"))
-    categories = F.when(F.exists("categories", lambda v: norm_label(v) == ""), fill_blank_labels("categories", c_first)).otherwise(F.col("categories"))
-    rows = F.when(series_rows, series).otherwise(categories)
-    cols = F.when(series_rows, categories).otherwise(series)
-    return df.withColumn("rows", F.when(F.size(rows) > 0, rows).otherwise(F.col("source_rows"))).withColumn("cols", F.when(F.size(cols) > 0, cols).otherwise(F.col("source_cols")))
-
-
-def align(pairs: DataFrame, forced: str | None = None) -> DataFrame:
-    """Aligned pairs: mode, label maps and the ordered (grown) axes.
-
-    ``pairs`` holds one row per contract with orientation, categories, series and
-    source_orientation, source_categories, source_series, allow_growth."""
-    df = target_axes(source_axes(pairs))
-    sides = ("rows", "cols", "source_rows", "source_cols")
-    df = df.select("*", *[prepared(normed(c)).alias(f"_{c}") for c in sides])
-    df = df.withColumn("mode", axis_mode(*[f"_{c}" for c in sides], forced))
-    cross = F.col("mode") == "cross"
-    turned = lambda a, b: F.when(cross, F.col(b)).otherwise(F.col(a))
-    df = df.select(
-        "*", turned("source_rows", "source_cols").alias("row_source"), turned("source_cols", "source_rows").alias("col_source"),
-        turned("_source_rows", "_source_cols").alias("_row_source"), turned("_source_cols", "_source_rows").alias("_col_source"))
-    df = df.select(
-        "*", label_map("rows", "_rows", "row_source", "_row_source").alias("row_map"), label_map("cols", "_cols", "col_source", "_col_source").alias("col_map"),
-    ).drop(*[f"_{c}" for c in sides], "_row_source", "_col_source")
-    df = df.withColumn("rows", source_order("rows", "row_map", "row_source")).withColumn("cols", source_order("cols", "col_map", "col_source"))
-    series_rows = F.col("orientation") == SERIES_ROWS
-    return df.withColumn("rows", F.when(F.col("allow_growth") & ~series_rows, grow_axis("rows", "row_map", "row_source")).otherwise(F.col("rows"))).withColumn(
-        "cols", F.when(F.col("allow_growth") & series_rows, grow_axis("cols", "col_map", "col_source")).otherwise(F.col("cols")))
-
-
-def _axis(labels, map_, source) -> Column:
-    """array<struct<label, source_label, source_ix>> of an aligned axis."""
-    keys = normed(source)
-
-    def build(ks):
-        def one(v):
-            def place(choice):
-                known = F.array_contains(F.transform(_c(map_), lambda m: m["label"]), v)
-                shown = F.coalesce(F.nullif(choice, F.lit("")), v)
-                at = F.array_position(ks, norm_label(F.when(known, choice).otherwise(v)))
-                return F.struct(shown.alias("label"), F.nullif(at, F.lit(0)).cast("int").alias("at"))
-
-            return let(mapped(map_, v), place)
-
-        return F.transform(_c(labels), one)
-
-    return let(keys, build)
-
-
-def dense_fill(aligned: DataFrame, values: DataFrame) -> DataFrame:
-    """Every cell of the aligned matrices: (target_id, row_ix, col_ix, row_label,
-    col_label, value).  Cells come from each contract's own axes; values are looked
+@dataclass(frozen=True)
+class Aligned:
+    """``modes``: (target_id, table_id, mode, allow_growth) of each contract.  ``maps``: (target_id, axis, ix, label, choice), the source label that
+    each label of the contract takes.  ``axes``: (target_id, axis, ix, label, shown, at), the final axes in order, the text each
+    label is shown as and its place on the source's axis, null where the source has none."""
+
+    modes: DataFrame
+    maps: DataFrame
+    axes: DataFrame
+
+
+def fill_blank_labels(labels: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """``labels`` (keys, ix, label) with blank ones replaced by unused ``candidates`` (keys, ix, label) in order, an NPS one first.  The k-th blank takes
+    the k-th candidate with a text of its own; groups without blanks pass through untouched."""
+    key = norm_label("label")
+    at = W.partitionBy(*keys).orderBy("ix")
+    blanks = labels.where(key == "")
+    pool = candidates.join(blanks.select(*keys).distinct(), keys, "left_semi").select(*keys, "ix", "label", key.alias("n")).where("n <> ''")
+    pool = pool.join(labels.select(*keys, key.alias("n")).where("n <> ''"), [*keys, "n"], "left_anti")
+    pool = pool.groupBy(*keys, "n").agg(F.min(F.struct("ix", "label")).alias("c"))
+    order = W.partitionBy(*keys).orderBy((F.col("n") != "NPS").cast("int"), "c.ix")
+    pool = pool.select(*keys, F.row_number().over(order).alias("nth"), F.col("c.label").alias("taken"))
+    filled = blanks.withColumn("nth", F.row_number().over(at)).join(pool, [*keys, "nth"], "left")
+    return labels.where(key != "").unionByName(filled.withColumn("label", F.coalesce("taken", "label")).select(*labels.columns))
+
+
+def pair_labels(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Contracts' and sources' labels (target_id, kind, ix, label) of pairs whose axes are arrays; kind is 'c' or 's'."""
+    side = lambda c, s: pairs.select("target_id", F.lit("c").alias("kind"), F.posexplode(c).alias("ix", "label")).unionByName(
+        pairs.select("target_id", F.lit("s").alias("kind"), F.posexplode(s).alias("ix", "label")))
+    return side("categories", "series"), side("source_categories", "source_series")
+
+
+def both_axes(pairs: DataFrame, wanted: DataFrame, source: DataFrame) -> DataFrame:
+    """(target_id, side, axis, ix, label) of contracts and their sources.  Blank labels of a contract take unused ones of its source, the same axis
+    first, and an axis it does not name is the source's own."""
+    other = source.withColumn("of", F.when(F.col("kind") == "c", "s").otherwise("c"))
+    own_first = other.select("target_id", "kind", F.struct(F.lit(0), "ix").alias("ix"), "label").unionByName(
+        other.select("target_id", F.col("of").alias("kind"), F.struct(F.lit(1), "ix").alias("ix"), "label"))
+    wanted = fill_blank_labels(wanted, own_first, ["target_id", "kind"])
+    by_series = pairs.select(
+        "target_id", (F.col("orientation") == SERIES_ROWS).alias("t"), F.col("source_orientation").isin(*_SOURCE_SERIES_ROWS).alias("s"))
+    axis = lambda flag: F.when(F.col(flag) == (F.col("kind") == "s"), "row").otherwise("col")
+    sources = source.join(by_series, "target_id").select("target_id", F.lit("s").alias("side"), axis("s").alias("axis"), "ix", "label")
+    targets = wanted.join(by_series, "target_id").select("target_id", F.lit("t").alias("side"), axis("t").alias("axis"), "ix", "label")
+    missing = sources.join(targets.select("target_id", "axis").distinct(), ["target_id", "axis"], "left_anti").withColumn("side", F.lit("t"))
+    return targets.unionByName(missing).unionByName(sources)
+
+
+def _placed(labels: DataFrame) -> DataFrame:
+    """First and last place of each text on an axis: (target_id, axis, key, first, last)."""
+    return labels.groupBy("target_id", "axis", norm_label("label").alias("key")).agg(F.min("ix").alias("first"), F.max("ix").alias("last"))
+
+
+def source_order(maps: DataFrame, placed: DataFrame) -> DataFrame:
+    """(target_id, axis, ix, label) in the order of the source labels they map to, unmapped ones last.  A label that occurs twice follows its last entry."""
+    key = norm_label(F.coalesce(F.nullif("choice", F.lit("")), F.col("label")))
+    last = maps.groupBy("target_id", "axis", "label").agg(F.max_by("choice", "ix").alias("choice")).withColumn("key", key)
+    at = last.join(placed, ["target_id", "axis", "key"], "left").select("target_id", "axis", "label", F.col("last").alias("at"))
+    order = W.partitionBy("target_id", "axis").orderBy(F.col("at").asc_nulls_last(), "ix")
+    return maps.select("target_id", "axis", "ix", "label").join(at, ["target_id", "axis", "label"]).select(
+        "target_id", "axis", (F.row_number().over(order) - 1).alias("ix"), "label")
+
+
+def grow_axis(ordered: DataFrame, maps: DataFrame, source: DataFrame) -> DataFrame:
+    """Source labels in order, each under the contract's own name when it has one, then the contract's remaining labels; each text once."""
+    named = maps.select("target_id", "axis", "ix", norm_label("choice").alias("key"), F.col("label").alias("own")).where("key <> ''")
+    named = named.groupBy("target_id", "axis", "key").agg(F.max_by("own", "ix").alias("own"))
+    first = source.withColumn("key", norm_label("label")).join(named, ["target_id", "axis", "key"], "left").select(
+        "target_id", "axis", F.lit(0).alias("part"), "ix", F.coalesce("own", "label").alias("label"))
+    every = first.unionByName(ordered.select("target_id", "axis", F.lit(1).alias("part"), "ix", "label"))
+    once = every.groupBy("target_id", "axis", norm_label("label").alias("key")).agg(F.min(F.struct("part", "ix", "label")).alias("v")).where("key <> ''")
+    order = W.partitionBy("target_id", "axis").orderBy("v.part", "v.ix")
+    return once.select("target_id", "axis", (F.row_number().over(order) - 1).alias("ix"), F.col("v.label").alias("label"))
+
+
+def align_labels(pairs: DataFrame, labels: DataFrame, forced: str | None = None) -> Aligned:
+    """Aligned axes of ``pairs`` (target_id, table_id, orientation, allow_growth) from the ``labels`` of both sides (see ``both_axes``)."""
+    solved = cut_lineage(map_labels(labels, forced), "label-map")
+    modes = pairs.select("target_id", "table_id", "orientation", F.coalesce("allow_growth", F.lit(False)).alias("allow_growth")).join(
+        solved.where("axis is null").select("target_id", "mode"), "target_id", "left").withColumn("mode", F.coalesce("mode", F.lit("same")))
+    modes = cut_lineage(modes, "modes")
+    maps = solved.where("axis is not null").select("target_id", "axis", "ix", "label", "choice")
+    turned = F.when(F.col("mode") == "cross", F.when(F.col("axis") == "row", "col").otherwise("row")).otherwise(F.col("axis"))
+    source = cut_lineage(labels.where("side = 's'").join(modes.select("target_id", "mode"), "target_id").select("target_id", turned.alias("axis"), "ix", "label"), "source-axes")
+    placed = _placed(source)
+    ordered = source_order(maps, placed)
+    grows = modes.where("allow_growth").select("target_id", F.when(F.col("orientation") == SERIES_ROWS, "col").otherwise("row").alias("axis"))
+    both = ["target_id", "axis"]
+    grown = grow_axis(ordered.join(grows, both, "left_semi"), maps.join(grows, both, "left_semi"), source.join(grows, both, "left_semi"))
+    final = ordered.join(grows, both, "left_anti").unionByName(grown)
+    last = maps.groupBy(*both, "label").agg(F.max_by("choice", "ix").alias("choice"), F.lit(True).alias("known"))
+    named = final.join(last, [*both, "label"], "left").withColumn("key", norm_label(F.when(F.col("known"), F.col("choice")).otherwise(F.col("label"))))
+    axes = named.join(placed.select(*both, "key", F.col("first").alias("at")), [*both, "key"], "left").select(
+        *both, "ix", "label", F.coalesce(F.nullif("choice", F.lit("")), "label").alias("shown"), "at")
+    return Aligned(modes.select("target_id", "table_id", "mode", "allow_growth"), maps, cut_lineage(axes, "axes"))
+
+
+def align(pairs: DataFrame, forced: str | None = None) -> Aligned:
+    """Aligned axes of pairs that hold one row per contract with orientation, categories, series and source_orientation,
+    source_categories, source_series, allow_growth."""
+    wanted, source = pair_labels(pairs)
+    return align_labels(pairs, cut_lineage(both_axes(pairs, wanted, source), "pair-labels"), forced)
+
+
+def dense_fill(aligned: Aligned, values: DataFrame) -> DataFrame:
+    """Every cell of the aligned matrices: (target_id, table_id, row_ix, col_ix, row_label, col_label, value).  Cells come from each contract's own axes; values are looked
     up by one join on the source position."""
-    axes = aligned.select("target_id", "table_id", "mode", _axis("rows", "row_map", "row_source").alias("r"), _axis("cols", "col_map", "col_source").alias("c"))
-    grid = axes.select("target_id", "table_id", "mode", "c", F.posexplode("r").alias("row_ix", "rr")).select(
-        "target_id", "table_id", "mode", "row_ix", "rr", F.posexplode("c").alias("col_ix", "cc"))
+    side = lambda axis: aligned.axes.where(F.col("axis") == axis).select(
+        "target_id", F.col("ix").alias(f"{axis}_ix"), F.col("shown").alias(f"{axis}_label"), F.col("at").alias(f"{axis}_at"))
+    grid = aligned.modes.join(side("row"), "target_id").join(side("col"), "target_id")
     cross = F.col("mode") == "cross"
-    placed = grid.select(
-        "target_id", "table_id", "row_ix", "col_ix", F.col("rr.label").alias("row_label"), F.col("cc.label").alias("col_label"),
-        (F.when(cross, F.col("cc.at")).otherwise(F.col("rr.at")) - 1).alias("s_row"), (F.when(cross, F.col("rr.at")).otherwise(F.col("cc.at")) - 1).alias("s_col"))
+    turned = lambda a, b: F.when(cross, F.col(b)).otherwise(F.col(a))
+    placed = grid.select("target_id", "table_id", "row_ix", "col_ix", "row_label", "col_label", turned("row_at", "col_at").alias("s_row"), turned("col_at", "row_at").alias("s_col"))
     v = values.select("table_id", F.col("row_ix").alias("s_row"), F.col("col_ix").alias("s_col"), F.col("num").alias("value"))
     return placed.join(v, ["table_id", "s_row", "s_col"], "left").select("target_id", "table_id", "row_ix", "col_ix", "row_label", "col_label", "value")
 

@@ -41,19 +41,22 @@ def _pairs(r):
 
 
 def _aligned(r):
-    return r.kept("aligned", lambda: alignment.align(_pairs(r)))
+    return r.kept_once("aligned", lambda: alignment.align(_pairs(r)))
+
+
+def _axes(r, which):
+    a = _aligned(r)
+    return a.axes.join(a.modes.where(which), "target_id", "left_semi").select("target_id", "axis", "label", "ix")
 
 
 @query("axis_alignment", f"WITH {PAIR_SQL} SELECT target_id, table_id, mode FROM md")
 def axis_alignment(r):
-    return _aligned(r).select("target_id", "table_id", "mode")
+    return _aligned(r).modes.select("target_id", "table_id", "mode")
 
 
 @query("label_map", f"WITH RECURSIVE {MAP_SQL} SELECT target_id, axis, label, choice FROM map JOIN pr USING (k)")
 def label_map(r):
-    a = _aligned(r)
-    one = lambda axis: a.select("target_id", F.lit(axis).alias("axis"), F.inline(f"{axis}_map"))
-    return one("row").unionByName(one("col"))
+    return _aligned(r).maps.select("target_id", "axis", "label", "choice")
 
 
 ORDER_SQL = f"""{MAP_SQL},
@@ -62,9 +65,7 @@ ORDER_SQL = f"""{MAP_SQL},
 
 @query("source_order", f"WITH RECURSIVE {ORDER_SQL} SELECT target_id, axis, label, ix FROM ord JOIN pr USING (k) WHERE k % 4 <> 0")
 def source_order(r):
-    a = _aligned(r).where("not allow_growth")
-    one = lambda axis, c: a.select("target_id", F.lit(axis).alias("axis"), F.posexplode(c).alias("ix", "label"))
-    return one("row", "rows").unionByName(one("col", "cols"))
+    return _axes(r, "not allow_growth")
 
 
 GROWN_SQL = f"""{ORDER_SQL},
@@ -78,9 +79,7 @@ GROWN_SQL = f"""{ORDER_SQL},
 
 @query("grow_axis", f"WITH RECURSIVE {GROWN_SQL} SELECT target_id, axis, label, ix FROM axes JOIN pr USING (k) WHERE k % 4 = 0")
 def grow_axis(r):
-    a = _aligned(r).where("allow_growth")
-    one = lambda axis, c: a.select("target_id", F.lit(axis).alias("axis"), F.posexplode(c).alias("ix", "label"))
-    return one("row", "rows").unionByName(one("col", "cols"))
+    return _axes(r, "allow_growth")
 
 
 FILL_SQL = f"""{GROWN_SQL},
@@ -110,9 +109,8 @@ def aligned_values(r):
 def fill_blank_labels(r):
     labels = r.sql("SELECT k, pos, CASE WHEN (k + pos) % 3 = 0 THEN ' ' ELSE label END AS label FROM (SELECT k, label, row_number() OVER (PARTITION BY k ORDER BY pos, label) - 1 AS pos FROM tgt_row) x")
     choices = r.sql("SELECT k, ix, CASE WHEN ix = 4 THEN 'nps' ELSE label END AS label FROM src_row WHERE k >= 0")
-    gather = lambda df, p, name: df.groupBy("k").agg(F.array_sort(F.collect_list(F.struct(p, "label"))).alias("g")).select("k", F.col("g.label").alias(name))
-    both = gather(labels, "pos", "ls").join(gather(choices, "ix", "cs"), "k")
-    return both.select("k", F.posexplode(alignment.fill_blank_labels("ls", "cs")).alias("ix", "label"))
+    labels = labels.join(choices.select("k").distinct(), "k", "left_semi").select("k", F.col("pos").alias("ix"), "label")
+    return alignment.fill_blank_labels(labels, choices, ["k"]).select("k", F.col("ix").cast("int").alias("ix"), "label")
 
 
 @query("adaptive_table", f"""

@@ -324,6 +324,13 @@ class Roles:
             _KEPT[key] = cut_lineage(build(), name)
         return _KEPT[key]
 
+    def kept_once(self, name: str, build):
+        """What ``build`` gives, which keeps its own tables, made once per session and scale."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _KEPT:
+            _KEPT[key] = build()
+        return _KEPT[key]
+
     # --- roles with arrays -------------------------------------------------
 
     def source_tables(self) -> DataFrame:

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 from sheets import grid_cells
 
 from tabweave.operators import alignment, grid
-from tabweave.session import cut_lineage
 
 
 def test_table_blocks(spark):
@@ -52,12 +51,12 @@ def filled(spark, orientation, categories, series, source, matrix, growth=False)
     kind, s_categories, s_series = source
     pair = spark.createDataFrame([("t", "s", orientation, categories, series, kind, s_categories, s_series, growth)], PAIR)
     values = spark.createDataFrame([("s", i, j, float(v)) for i, row in enumerate(matrix) for j, v in enumerate(row)], "table_id string, row_ix int, col_ix int, num double")
-    aligned = cut_lineage(alignment.align(pair))
+    aligned = alignment.align(pair)
     cells = alignment.dense_fill(aligned, values).orderBy("row_ix", "col_ix").collect()
     rows = list(dict.fromkeys((c["row_ix"], c["row_label"]) for c in cells))
     cols = list(dict.fromkeys((c["col_ix"], c["col_label"]) for c in cells))
     grid_ = [[c["value"] for c in cells if c["row_ix"] == i] for i, _ in rows]
-    return aligned.first()["mode"], [v for _, v in rows], [v for _, v in cols], grid_
+    return aligned.modes.first()["mode"], [v for _, v in rows], [v for _, v in cols], grid_
 
 
 BY_CATEGORY, BY_SERIES = "categories_rows_series_columns", "series_rows_categories_columns"
@@ -91,8 +90,9 @@ def test_source_order_and_growth(spark):
 
 
 def test_blank_labels_take_unused_candidates(spark):
-    df = spark.createDataFrame([(["west", "", " "], ["east", "nps", "west", "east"])], "ls array<string>, cs array<string>")
-    assert df.select(alignment.fill_blank_labels("ls", "cs").alias("o")).first()["o"] == ["west", "nps", "east"]
+    rows = lambda *ls: spark.createDataFrame([(g, i, v) for g in (1, 2) for i, v in enumerate(ls) if g == 1 or v.strip()], "g int, ix int, label string")
+    out = alignment.fill_blank_labels(rows("west", "", " "), rows("east", "nps", "west", "east"), ["g"])
+    assert sorted(map(tuple, out.collect())) == [(1, 0, "west"), (1, 1, "nps"), (1, 2, "east"), (2, 0, "west")]
 
 
 def test_formats(spark):
