@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, words_of
-from .tokens import LETTER, classes
+from .tokens import LETTER, unicode_classes
 
 _STEPS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F), np.uint32(0x165667B1))
 
@@ -19,7 +19,7 @@ _STEPS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), n
 def letters() -> np.ndarray:
     """Each letter's lower case (where that is one character) and a blank for any other character."""
     table = np.full(0x110000, 32, np.uint32)
-    for c in np.flatnonzero(classes() == LETTER).tolist():
+    for c in np.flatnonzero(unicode_classes()[0] == LETTER).tolist():
         low = chr(c).lower()
         table[c] = ord(low) if len(low) == 1 else c
     return table

@@ -20,21 +20,50 @@ LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
+def _known_class(reader: Reader, chars: str) -> int | None:
+    """Class of all of ``chars`` by where the tokenizer cuts between them, a letter before and a digit after; None if they differ."""
+    cuts = {a for _, (a, _) in reader.pre_tokenizer.pre_tokenize_str(f"a{chars}1")} - {0}
+    return {(len(chars) + 1,): LETTER, (1,): NUMBER, (1, len(chars) + 1): OTHER}.get(tuple(sorted(cuts)))
+
+
+def _settle(reader: Reader, table: np.ndarray, first: int, past: int) -> None:
+    """Set the classes of code points that Python does not know, by halves where they differ."""
+    found = _known_class(reader, "".join(map(chr, range(first, past))))
+    if found is not None:
+        table[first:past] = found
+    elif past - first > 1:
+        middle = (first + past) // 2
+        _settle(reader, table, first, middle)
+        _settle(reader, table, middle, past)
+
+
 @functools.cache
-def classes() -> np.ndarray:
-    """Letter, number, white space or other, for each code point."""
+def unicode_classes() -> tuple[np.ndarray, np.ndarray]:
+    """Letter, number, white space or other, for each code point, and the bounds of the runs of code points that Python does not know."""
+    categories = np.array([unicodedata.category(chr(c)) for c in range(0x110000)])
     table = np.full(0x110000, OTHER, np.uint8)
-    kinds = {"L": LETTER, "N": NUMBER}
-    table[:] = [kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)]
+    kinds = categories.astype("U1")
+    table[kinds == "L"], table[kinds == "N"] = LETTER, NUMBER
     table[WHITE] = SPACE
+    unknown = np.concatenate([[False], categories == "Cn", [False]])
+    return table, np.flatnonzero(unknown[1:] != unknown[:-1]).reshape(-1, 2)
+
+
+@functools.cache
+def classes(path: str) -> np.ndarray:
+    """The class of each code point for a tokenizer, whose tables may be newer than Python's: it is asked about those that Python does not know."""
+    table, unknown = unicode_classes()
+    table, reader = table.copy(), Reader.from_file(path)
+    for first, past in unknown.tolist():
+        _settle(reader, table, first, past)
     return table
 
 
-def word_starts(chars: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def word_starts(chars: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Where words start: a run of letters, of numbers or of other characters with one blank before it, an apostrophe with its
     short ending, and white space up to the character before the next word."""
     n = len(chars)
-    kind = classes()[chars]
+    kind = table[chars]
     first = np.zeros(n + 1, bool)
     first[offsets] = True  # of a row
     first = first[:n]
@@ -74,7 +103,7 @@ class Tokenizer:
     are merge ranks and which has the usual word pattern.  Texts that hold a special token's string go through that call itself."""
 
     def __init__(self, path: str):
-        self.reader = Reader.from_file(path)
+        self.reader, self.classes = Reader.from_file(path), classes(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -133,7 +162,7 @@ class Tokenizer:
             return np.zeros(0, np.uint16), np.zeros(len(offsets), np.int64)
         lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         at = lead[offsets]
-        starts = word_starts(chars, at)
+        starts = word_starts(chars, at, self.classes)
         sizes = np.diff(starts, append=len(chars))
         place = np.arange(len(chars)) - np.repeat(starts, sizes)
         powers = stream(int(sizes.max()), 3)
