@@ -27,3 +27,27 @@ def test_audit_odd_tables(spark):
     lost = fixity.audit(frame(spark, rows), frame(spark, []), "page_id", ["url", "html"]).collect()
     assert len(lost) == 3 and not any(r.intact for r in lost)
     assert fixity.audit(frame(spark, []), frame(spark, []), "page_id", ["url", "html"]).count() == 0
+
+
+def test_only_damaged_ranges_are_suspected(spark, monkeypatch):
+    """A lost or added record spoils its own range only, and records of other ranges reach no join."""
+    monkeypatch.setattr(fixity, "RANGE_BYTES", 256)
+    monkeypatch.setattr(fixity, "FAN", 3)
+    rows = [(i * 10, f"u{i}", "x" * (i * 31 % 70)) for i in range(500)]
+    own = fixity.layout(frame(spark, rows), "page_id", ["url", "html"])
+    node = {r.id: r.node for r in own.collect()}
+    bounds = own.groupBy("node").agg({"id": "min"}).withColumnRenamed("min(id)", "id")
+    for gone, new, changed in (({50}, set(), set()), (set(), {1005}, set()), ({4990}, {-3, 9999}, {2000, 2010}), (set(), set(), set())):
+        damaged = [(i, u, "!" if i in changed else h) for i, u, h in rows if i not in gone] + [(i, "new", "") for i in new]
+        theirs = fixity.in_ranges(fixity.hashed(frame(spark, damaged), "page_id", ["url", "html"]), bounds)
+        spoilt = {r.node for r in fixity.compare(own, theirs).collect()}
+        near = {max((k for k in node if k <= i), default=0) for i in new}
+        assert spoilt == {node[i] for i in gone | changed | near}
+
+
+def test_hot_ids_and_a_replica_only(spark):
+    rows = [(None, f"u{i % 3}", "x") for i in range(300)] + [(5, "a", "b")] * 50
+    found = fixity.audit(frame(spark, rows), frame(spark, [r for r in rows if r[1] != "u1"]), "page_id", ["url", "html"]).collect()
+    assert len(found) == 350 and sum(not r.intact for r in found) == 100
+    extra = fixity.audit(frame(spark, []), frame(spark, rows), "page_id", ["url", "html"]).collect()
+    assert {r.page_id for r in extra} == {None, 5} and not any(r.intact for r in extra)
