@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,16 +14,26 @@ from .common import NOT_SPACE, components, kept, map_texts, mix, named, pair_bat
 
 #: Words of a shingle.
 SHINGLE = 5
-#: Symbols of a signature (one byte, so b = 8) and chunks it is cut into.  A chunk may hold one wrong symbol, so
-#: all pairs that differ in fewer than 2 * CHUNKS symbols share a chunk key.
-SYMBOLS, CHUNKS = 32, 7
-DISTANCE = 2 * CHUNKS - 1
+#: Share of links that the distance of signatures may miss, at the threshold itself; more similar pairs are missed less.
+MISSED = 1e-4
 #: Signatures of a key, and bytes of shingle sets of a cluster, that one block holds.
 KEY_BLOCK, SET_BLOCK_BYTES = 16_384, 16 << 20
 
 FIELDS = "n_shingles long, set_a long, set_b long, signature binary, keys array<long>"
 
 
+def signature_plan(per_cent: int) -> tuple[int, int]:
+    """Symbols (one byte each, so b = 8) of a signature and chunks it is cut into.  A chunk may hold one wrong symbol, so all pairs that differ in
+    fewer than twice as many symbols as there are chunks share a chunk key.  The fewest symbols are taken at which a pair of the wanted similarity differs
+    in more with a probability of at most ``MISSED``; chunks have 4.5 symbols, so that keys stay rare."""
+    p = 1 - per_cent / 100
+    for symbols in range(32, 129, 8):
+        chunks = int(symbols / 4.5)
+        if sum(math.comb(symbols, k) * p**k * (1 - p) ** (symbols - k) for k in range(2 * chunks, symbols + 1)) <= MISSED:
+            return symbols, chunks
+    raise ValueError(f"a similarity of {per_cent} % is too low for signatures of 128 symbols")
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each row; fewer words than a shingle are one shingle, no words none."""
     _, _, row, h = words_of(data, offsets, NOT_SPACE)
@@ -168,17 +179,18 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85, shingle: int = SHINGLE,
     Rows are linked where ``100 * |A and B| >= per_cent * |A or B|`` over their sets of ``shingle`` words (lower-cased over A-Z, cut at white
     space).  component_id is the smallest id reachable by links, itself included; kept marks the row with that id.
 
-    1. Equal sets are one class, led by its smallest id.  2. Each class has a signature of one byte from each of 32 min-hashes, cut
-    into 7 chunks.  Two signatures that differ in at most 13 symbols agree in a chunk but for one symbol, so classes meet under
-    the keys of "chunk without one symbol".  At a similarity of 0.85 a symbol differs with probability 0.15, and more than 13 of 32 do with
-    probability 0.0001.  3. Within a key, pairs at that distance are connected by a forest, never listed.  4. Candidate clusters are the components
+    1. Equal sets are one class, led by its smallest id.  2. Each class has a signature of one byte from each of some min-hashes, cut into chunks
+    (``signature_plan``: 32 and 7 at 85 %, 56 and 12 at 80 %).  Two signatures that differ in fewer than twice as many symbols as there are chunks agree in a chunk
+    but for one symbol, so classes meet under the keys of "chunk without one symbol".  A link at the threshold is missed with a probability of at
+    most ``MISSED``; thresholds below 67 % are refused.  3. Within a key, pairs at that distance are connected by a forest, never listed.  4. Candidate clusters are the components
     of these edges, and the links inside each are confirmed on full shingle sets, again as a forest.  5. Their components are the result.
     A hot key or cluster is dealt into blocks of a fixed size, and each pair of blocks is a group of its own.
 
     A null or wordless text has an empty set, is its own component and is kept.  Fewer words than a shingle are one shingle.  Rows of equal ids and texts
     share a class, and rows of one id are one document; a null id stays null and is its own component.  An empty table gives no rows; other columns are ignored."""
+    symbols, chunks = signature_plan(per_cent)
     rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).alias("text"))
-    read = map_texts(rows, lambda: _reader(shingle, SYMBOLS, CHUNKS), FIELDS, ["id"])
+    read = map_texts(rows, lambda: _reader(shingle, symbols, chunks), FIELDS, ["id"])
     read = kept(read.select("doc.id", "n_shingles", "set_a", "set_b", "signature", "keys"), "near-signatures")
     members = read.select("id", "n_shingles", "set_a", "set_b")
     full = read.where("n_shingles > 0 and id is not null")
@@ -188,7 +200,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85, shingle: int = SHINGLE,
     hot = keyed.groupBy("key").count().where(F.col("count") > KEY_BLOCK).select("key", F.ceil(F.col("count") / (KEY_BLOCK // 2)).cast("long").alias("blocks"))
     blocked = in_blocks(keyed, "key", kept(hot, "near-hot-keys"))
     blocked = blocked.select(F.when(F.col("pair") == 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key"), "id", "signature")
-    near = blocked.repartition("key").sortWithinPartitions("key").mapInArrow(_key_links(DISTANCE), "a long, b long")
+    near = blocked.repartition("key").sortWithinPartitions("key").mapInArrow(_key_links(2 * chunks - 1), "a long, b long")
     clusters = components(kept(near, "near-candidates"), "near-clusters").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     clusters = kept(clusters, "near-clusters")
     # full sets of the classes in a cluster, from their texts
