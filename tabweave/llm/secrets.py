@@ -42,6 +42,16 @@ BASE = (
 # A query is None (any text may match) or a set of alternatives, each a set of trigrams that all must occur.
 
 
+# fixed values: ASCII letters that, without regard to case, also match another character (U+212A, U+017F, U+0130 and U+0131)
+PARTNERED = "KkSsIi"
+
+
+def _within(flags: int, more: int, less: int) -> int:
+    """Flags inside a group that turns some on and off; a group of one alphabet leaves the others."""
+    alphabets = re.ASCII | re.UNICODE | re.LOCALE
+    return ((flags & ~alphabets if more & alphabets else flags) | more) & ~less
+
+
 def _either(queries):
     if any(q is None for q in queries):
         return None
@@ -66,24 +76,31 @@ def _grams(strings: set[str]):
     return frozenset(found)
 
 
-def _query(parts) -> tuple[frozenset | None, set[str] | None]:
-    """The query of a parsed sequence, or else its exact strings where they are few."""
+def _alone(chars: set[str], flags: int) -> set[str] | None:
+    """Characters of one place of a match, or None if without regard to case others than their ASCII cases may stand there."""
+    if not flags & re.IGNORECASE or flags & re.ASCII:
+        return None if flags & re.IGNORECASE and not all(c.isascii() for c in chars) else chars
+    return chars if all(c.isascii() and c not in PARTNERED for c in chars) else None
+
+
+def _query(parts, flags: int) -> tuple[frozenset | None, set[str] | None]:
+    """The query of a parsed sequence under ``flags``, or else its exact strings where they are few."""
     query, run, whole = None, {""}, True
     for op, arg in parts:
         exact, own = None, None
         if op is sre.LITERAL:
-            exact = {chr(arg)}
+            exact = _alone({chr(arg)}, flags)
         elif op is sre.IN and all(o is sre.LITERAL for o, _ in arg) and len(arg) <= FEW:
-            exact = {chr(a) for _, a in arg}
+            exact = _alone({chr(a) for _, a in arg}, flags)
         elif op is sre.SUBPATTERN:
-            own, exact = _query(arg[3])
+            own, exact = _query(arg[3], _within(flags, arg[1], arg[2]))
         elif op is sre.BRANCH:
-            several = [_query(x) for x in arg[1]]
+            several = [_query(x, flags) for x in arg[1]]
             own = _either([q if e is None else _grams(e) for q, e in several])
             exact = set().union(*(e for _, e in several)) if all(e is not None for _, e in several) else None
         elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
             low, high, inner = arg
-            inner_query, inner_exact = _query(inner)
+            inner_query, inner_exact = _query(inner, flags)
             if (low, high) == (0, 1) and inner_exact is not None:
                 exact = inner_exact | {""}
             elif low >= 1:
@@ -99,7 +116,8 @@ def _query(parts) -> tuple[frozenset | None, set[str] | None]:
 
 def trigram_query(pattern: str) -> frozenset | None:
     """Alternatives of trigrams (ASCII lower case) of which one must occur in full where ``pattern`` matches; None if there are none."""
-    query, exact = _query(sre_parse.parse(pattern))
+    parsed = sre_parse.parse(pattern)
+    query, exact = _query(parsed, parsed.state.flags)
     return query if exact is None else _grams(exact)
 
 

@@ -171,8 +171,11 @@ def test_pipeline_stages(spark):
 
 
 def test_pipeline_odd_rows(spark):
-    rows = [(1, None, None), (None, "a b", "q"), (None, "a b", "q"), (2, "", None), (2, "", None), (3, "x y z", "w")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    rows = [(1, None, None), (None, "a b", "q"), (None, "a b", "q"), (2, "", None), (2, "", None), (3, "x y z", "w"), (3, "another text", "w"), (0, "a b", "v"), (7, "k l m", "u"), (6, "k l m", "t")]
+    docs = spark.createDataFrame([(*r, *r[:2], r[2]) for r in rows], "doc_id long, text string, `score` string, row long, `a.b` string, `_nth` string")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = common.kept(stage(spark, docs, SF), "test-stage")
-    assert sorted((tuple(r) for r in docs.collect()), key=str) == sorted([(1, None, None), (None, "a b", "q"), (None, "a b", "q"), (2, "", None), (3, "x y z", "w")], key=str)
+    assert docs.columns == ["doc_id", "text", "score", "row", "a.b", "_nth"]
+    left = [(1, None, None), (2, "", None), (2, "", None), (3, "x y z", "w"), (3, "another text", "w"), (0, "a b", "v"), (6, "k l m", "t")]
+    assert sorted((tuple(r) for r in docs.collect()), key=str) == sorted([(*r, *r[:2], r[2]) for r in left], key=str)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= len(left)

@@ -1,14 +1,16 @@
 """Operators over texts against plain versions, on hard cases and on the test tables."""
 
 import random
+import re
 import zlib
 
 import brute
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer as Reader
 
-from tabweave.llm import common, decontamination, near_duplicates, packing, repeats, secrets, sharding
+from tabweave.llm import common, decontamination, near_duplicates, packing, repeats, secrets, sharding, tokens
 from tabweave.llm import queries as registered
 
 SF = "/root/testdata/sf0.001"
@@ -95,6 +97,20 @@ def test_secrets(spark):
     assert listed == sorted(((r[0], r[5]) for r in brute.secret_spans(rows)), key=str)
 
 
+def test_rules_without_an_ascii_flag():
+    """The index selects every text that a pattern matches, also where case folding leaves ASCII."""
+    patterns = ["(?i:token)=abcd", "(?i:cl\u00e9)=abcd", "(?i)skin|ring", "(?i:a(?-i:token)b)", "(?ai:token)=abcd", "(?i:[ks]ey)=abcd", "(?i:(?a:sik)x)", "tok(?i:en)=abcd"]
+    texts = ["to\u212aen=abcd", "TOKEN=abcd", "CL\u00c9=abcd", "cl\u00e9=abcd", "\u017fkin", "S\u212aIN", "r\u0130ng", "r\u0131ng", "RING", "AtokenB", "atokenb", "\u212aey=abcd", "sikX", "tokEN=abcd", "nothing"]
+    for p in patterns:
+        query = secrets.trigram_query(p)
+        index = secrets.Index(sorted({g for grams in query or () for g in grams}))
+        raw = [t.encode() for t in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        found = set(index.candidates(index.postings(np.frombuffer(b"".join(raw), np.uint8), offsets), query).tolist())
+        assert {i for i, t in enumerate(texts) if re.search(p, t)} <= found, p
+    assert secrets.trigram_query("(?ai:token)=abcd") is not None and secrets.trigram_query("tok(?i:en)=abcd") is not None
+
+
 def test_redaction(spark):
     rows = [(1, 'a password = "abcdefghijkl" b'), (2, None), (3, "clean"), (4, "token=deadbeefdeadbeef00 end")]
     found = {r.doc.doc_id: r.clean for r in secrets.redact(frame(spark, rows)).collect()}
@@ -168,6 +184,17 @@ def test_packing_repeated_and_empty(spark):
     assert packing.packed(frame(spark, []), packing.default_tokenizer(), 4).count() == 0
 
 
+def test_ids_of_every_code_point():
+    """Each code point between letters, a digit and an apostrophe gives the ids of the tokenizer."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, reader = tokens.Tokenizer(path), Reader.from_file(path)
+    known = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(known), 20_000):
+        text = "\n".join(f"w{chr(c)}'s {chr(c)}1{chr(c)}x" for c in known[i:i + 20_000])
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert own(data, np.array([0, len(data)]))[0].tolist() == reader.encode(text, add_special_tokens=False).ids, hex(known[i])
+
+
 def test_hilbert_curve_steps_by_one():
     import numpy as np
 
@@ -212,6 +239,12 @@ def test_near_duplicates_odd_rows(spark):
     assert near_duplicates.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_signature_plans():
+    assert near_duplicates.signature_plan(85) == (32, 7) and near_duplicates.signature_plan(80) == (56, 12)
+    with pytest.raises(ValueError):
+        near_duplicates.signature_plan(50)
+
+
 def test_signatures_within_distance_share_a_key():
     import numpy as np
 
@@ -219,7 +252,7 @@ def test_signatures_within_distance_share_a_key():
     a = rng.integers(0, 256, (200, 32)).astype(np.uint8)
     b = a.copy()
     for row in b:
-        row[rng.permutation(32)[:near_duplicates.DISTANCE]] ^= 1
+        row[rng.permutation(32)[:2 * near_duplicates.signature_plan(85)[1] - 1]] ^= 1
     x, y = near_duplicates.chunk_keys(a, 7), near_duplicates.chunk_keys(b, 7)
     assert all(set(p) & set(q) for p, q in zip(x.tolist(), y.tolist(), strict=True))
 
