@@ -6,7 +6,6 @@ stage's result and reads it again, so a lost executor repeats a stage at most.""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabweave.llm import common, decontamination, near_duplicates, packing, quality, secrets
@@ -20,7 +19,7 @@ SIMILAR = 80
 
 
 def _columns(df: DataFrame, columns: list[str], **changed) -> DataFrame:
-    return df.select(*[changed.get(c, F.col("doc")[c]).alias(c) for c in columns])
+    return df.select(*[changed.get(c, F.col("doc").getField(c)).alias(c) for c in columns])
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +30,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates.  Rows of one id are one document, of which one row stays; rows
-    without an id, and those without words, are groups of their own."""
-    found = near_duplicates.near_duplicates(docs, SIMILAR)
-    stays = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(stays, "doc_id", "left_semi")
-    one = known.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_nth = 1").drop("_nth")
-    return one.select(docs.columns).union(docs.where("doc_id is null"))
+    """The document of the smallest id of each group of near duplicates, rows without an id last.  Every row is a document of its own, also where rows
+    share an id; those without words are groups of their own."""
+    rows = common.kept(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[common.named(c) for c in docs.columns]).alias("doc")), "pipeline-rows")
+    found = near_duplicates.near_duplicates(rows.select("row", F.col("doc").getField("text").alias("text")), SIMILAR, id_col="row")
+    by_id = rows.select("row", F.col("doc").getField("doc_id").alias("id")).join(found.select("row", "component_id"), "row")
+    stays = by_id.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    return _columns(rows.join(stays, "row", "left_semi"), docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
