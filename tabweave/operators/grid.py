@@ -24,6 +24,8 @@ METADATA_ALIASES = {
 }
 PLAIN_LABELS = ("TOTAL", "SERIE", "SERIES", "CATEGORIA", "CATEGORIAS", "VALOR")
 NPS_SHARE = 0.65
+# What a series of values, a series and a row are called that have no name.
+VALUE_NAME, SERIES_NAME, ROW_NAME = "Valor", "Serie", "Linha"
 
 
 def typed(cells: DataFrame) -> DataFrame:
@@ -134,9 +136,9 @@ def orientation(cells: DataFrame, headers: DataFrame, rows: DataFrame) -> DataFr
 def axis_label(label, item, kind) -> Column:
     """A label, or the numbered stand-in of its orientation."""
     stand_in = (
-        F.when(F.col(kind) == "single_series_row_categories_columns", "Valor")
-        .when(F.col(kind) == "series_rows_categories_columns", F.concat(F.lit("Serie "), (F.col(item) + 1).cast("string")))
-        .otherwise(F.concat(F.lit("Linha "), (F.col(item) + 1).cast("string")))
+        F.when(F.col(kind) == "single_series_row_categories_columns", VALUE_NAME)
+        .when(F.col(kind) == "series_rows_categories_columns", F.concat(F.lit(f"{SERIES_NAME} "), (F.col(item) + 1).cast("string")))
+        .otherwise(F.concat(F.lit(f"{ROW_NAME} "), (F.col(item) + 1).cast("string")))
     )
     return F.when(F.col(label) != "", F.col(label)).otherwise(stand_in)
 

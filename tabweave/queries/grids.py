@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.dates import PERIOD_MONTHS
-from ..operators import grid
+from ..operators import grid, sheets
 from .registry import query
 from .roles import norm_sql
 
@@ -117,6 +117,58 @@ def context_title(r):
     return grid.context_title(cells, headers)
 
 
+# --- whole sheets ------------------------------------------------------------------------
+
+LOOSE_SQL = f"""{ROWS_SQL.replace('sheet_cell', 'loose_cell')},
+    st AS (SELECT t.table_id, t.row_ix, count(*) AS n, count(*) FILTER (abs(number) <= 1) AS i, count(*) FILTER (abs(number) > 1) AS o FROM ty t JOIN header h USING (table_id)
+        WHERE t.number IS NOT NULL AND t.row_ix > h.header_row AND t.col_ix BETWEEN h.start_col AND h.end_col GROUP BY ALL),
+    nl AS (SELECT table_id, row_ix, item, CASE WHEN label = '' AND n > 0 AND pn > 0 AND pi >= pn * 0.65 AND o >= n * 0.65 THEN 'NPS' ELSE label END AS label
+        FROM (SELECT dr.*, coalesce(n, 0) AS n, coalesce(o, 0) AS o, sum(coalesce(n, 0)) OVER p AS pn, sum(coalesce(i, 0)) OVER p AS pi
+              FROM dr LEFT JOIN st USING (table_id, row_ix) WINDOW p AS (PARTITION BY table_id ORDER BY row_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) w),
+    ha AS (SELECT t.table_id, avg(CASE WHEN period THEN 1.0 ELSE 0.0 END) AS head FROM ty t JOIN header h USING (table_id) WHERE t.row_ix = h.header_row AND t.col_ix BETWEEN h.start_col AND h.end_col GROUP BY t.table_id),
+    sa AS (SELECT table_id, count(*) AS n_rows, coalesce(avg(CASE WHEN label = '' THEN NULL WHEN regexp_full_match({norm_sql('label', plus=False)}, {_PERIOD}) THEN 1.0 ELSE 0.0 END), 0) AS side FROM nl GROUP BY table_id),
+    ki AS (SELECT table_id, CASE WHEN head >= 0.45 AND coalesce(n_rows, 0) = 1 THEN 'single_series_row_categories_columns' WHEN head >= 0.45 AND coalesce(side, 0) < 0.45 THEN 'series_rows_categories_columns'
+        ELSE 'categories_rows_series_columns' END AS orientation FROM ha LEFT JOIN sa USING (table_id)),
+    kt AS (SELECT * FROM ty WHERE table_id NOT IN (SELECT table_id FROM header)),
+    kp AS (SELECT l.table_id, l.row_ix, l.col_ix, l.text AS label, v.text AS value, v.number FROM kt l LEFT JOIN kt v ON v.table_id = l.table_id AND v.row_ix = l.row_ix AND v.col_ix = l.col_ix + 1 WHERE l.number IS NULL),
+    ks AS (SELECT table_id, col_ix FROM (SELECT table_id, col_ix, count(*) AS n, count(value) AS v FROM kp GROUP BY ALL) c WHERE n >= 2 AND v >= 1 QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY n + v DESC, col_ix) = 1),
+    kv AS MATERIALIZED (SELECT table_id, label, value, number, row_number() OVER (PARTITION BY table_id ORDER BY row_ix) - 1 AS ix FROM kp JOIN ks USING (table_id, col_ix)),
+    va AS MATERIALIZED (SELECT t.table_id, nl.item AS row_ix, t.col_ix - h.start_col AS col_ix, t.text, t.number, t.fmt FROM ty t JOIN header h USING (table_id) JOIN nl USING (table_id, row_ix) WHERE t.col_ix BETWEEN h.start_col AND h.end_col)"""
+
+
+def _loose(r):
+    return r.kept_once("loose", lambda: sheets.read_sheets(r.role("loose_cell")))
+
+
+@query("source_tables", f"""
+    WITH {LOOSE_SQL},
+    hx AS (SELECT h.table_id, h.col - h.start_col AS ix, coalesce(t.text, '') AS label FROM (SELECT *, unnest(range(start_col, end_col + 1)) AS col FROM header) h LEFT JOIN ty t ON t.table_id = h.table_id AND t.row_ix = h.header_row AND t.col_ix = h.col),
+    la AS (SELECT table_id, CASE orientation WHEN 'categories_rows_series_columns' THEN 'series' ELSE 'category' END AS axis, ix, label FROM hx JOIN ki USING (table_id)
+        UNION ALL SELECT table_id, CASE orientation WHEN 'categories_rows_series_columns' THEN 'category' ELSE 'series' END, item, CASE WHEN label <> '' THEN label WHEN orientation LIKE 'single%' THEN 'Valor'
+            WHEN orientation LIKE 'series%' THEN 'Serie ' || (item + 1) ELSE 'Linha ' || (item + 1) END FROM nl JOIN ki USING (table_id)
+        UNION ALL SELECT table_id, 'category', ix, label FROM kv UNION ALL SELECT DISTINCT table_id, 'series', 0, 'Valor' FROM kv),
+    fo AS (SELECT table_id, ix, fmt FROM (SELECT table_id, CASE orientation WHEN 'categories_rows_series_columns' THEN col_ix ELSE row_ix END AS ix, fmt, count(*) AS n,
+            min(CASE orientation WHEN 'categories_rows_series_columns' THEN row_ix ELSE col_ix END) AS p FROM va JOIN ki USING (table_id) WHERE lower(fmt) <> 'general' GROUP BY ALL) c
+        QUALIFY row_number() OVER (PARTITION BY table_id, ix ORDER BY n DESC, p) = 1),
+    al AS (SELECT DISTINCT table_id FROM loose_cell)
+    SELECT al.table_id, coalesce(ki.orientation, CASE WHEN al.table_id IN (SELECT table_id FROM kv) THEN 'key_value_rows' WHEN al.table_id IN (SELECT table_id FROM ty) THEN 'unknown' ELSE 'empty' END) AS orientation,
+        la.axis, CAST(la.ix AS INT) AS ix, la.label, CASE WHEN la.axis IS NULL THEN NULL WHEN la.axis = 'series' THEN coalesce(fo.fmt, '') ELSE '' END AS fmt
+    FROM al LEFT JOIN ki USING (table_id) LEFT JOIN la USING (table_id) LEFT JOIN fo ON fo.table_id = al.table_id AND fo.ix = la.ix AND la.axis = 'series'""")
+def source_tables(r):
+    """Axes of every sheet, and sheets without any as one row."""
+    read = _loose(r)
+    return read.tables.select("table_id", "orientation").join(read.labels, "table_id", "left").select("table_id", "orientation", "axis", F.col("ix").cast("int").alias("ix"), "label", "fmt")
+
+
+@query("source_values", f"""
+    WITH {LOOSE_SQL} SELECT table_id, CAST(row_ix AS INT) AS row_ix, CAST(col_ix AS INT) AS col_ix, number AS num, CASE WHEN number IS NULL THEN text END AS text FROM va
+    UNION ALL SELECT table_id, CAST(ix AS INT), 0, number, CASE WHEN number IS NULL THEN value END FROM kv WHERE value IS NOT NULL""")
+def source_values(r):
+    """Filled positions of every sheet that could be read."""
+    v = _loose(r).values
+    return v.select("table_id", F.col("row_ix").cast("int").alias("row_ix"), F.col("col_ix").cast("int").alias("col_ix"), "num", F.when(F.col("num").isNull(), F.col("text")).alias("text"))
+
+
 @query("dominant_format", """
     SELECT table_id, row_ix, fmt FROM (SELECT table_id, row_ix, fmt, count(*) AS n, min(col_ix) AS p FROM sheet_cell WHERE lower(fmt) <> 'general' GROUP BY ALL) c QUALIFY row_number() OVER (PARTITION BY table_id, row_ix ORDER BY n DESC, p) = 1""")
 def dominant_format(r):

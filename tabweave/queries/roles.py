@@ -136,6 +136,20 @@ ROLES: dict[str, str] = {
         SELECT 'c' || o_custkey, row_ix, CAST(1 + o_custkey % 2 AS INT), NULL, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END
         FROM (SELECT o_custkey, o_orderkey, o_totalprice, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS row_ix FROM {orders}) b""",
     # files with the many spellings of a page hint
+    # sheets of every shape: as above, turned, with one row of data, without a header, with a title only, blank
+    "loose_cell": """
+        SELECT table_id, row_ix, col_ix, raw, num, fmt FROM sheet_cell WHERE CAST(substr(table_id, 2) AS BIGINT) % 4 <> 1
+        UNION ALL
+        SELECT 't' || substr(table_id, 2), col_ix, row_ix, raw, num, fmt FROM sheet_cell WHERE CAST(substr(table_id, 2) AS BIGINT) % 3 = 0
+        UNION ALL
+        SELECT 'o' || substr(table_id, 2), row_ix, col_ix, raw, num, fmt FROM sheet_cell
+        WHERE CAST(substr(table_id, 2) AS BIGINT) % 4 = 1 AND row_ix <= 4 + CAST(substr(table_id, 2) AS BIGINT) % 2
+        UNION ALL
+        SELECT table_id, row_ix, col_ix, raw, num, 'General' FROM kv_cell
+        UNION ALL
+        SELECT 'u' || substr(table_id, 2), row_ix, col_ix, raw, num, fmt FROM sheet_cell WHERE CAST(substr(table_id, 2) AS BIGINT) % 5 = 0 AND row_ix = 0
+        UNION ALL
+        SELECT 'e' || substr(table_id, 2), row_ix, col_ix, '  ', CAST(NULL AS DOUBLE), 'General' FROM sheet_cell WHERE CAST(substr(table_id, 2) AS BIGINT) % 7 = 0 AND row_ix = 0""",
     "file": """
         SELECT page_id, CASE page_id % 9
                  WHEN 0 THEN 'slide_' || lpad(CAST(page_id % 40 AS STRING), 3, '0') || '/'
