@@ -75,16 +75,39 @@ def scope_files(files: DataFrame) -> DataFrame:
     return known
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], l0: str, l1: str, r0: str, r1: str, width: int = 4096) -> DataFrame:
-    """Rows of both sides with equal keys whose intervals [l0, l1] and [r0, r1]
-    meet.  Intervals are cut into bins to join on; a pair is kept only in the first
-    bin both reach, so it appears once."""
-    bin_of = lambda c: F.floor(F.col(c) / width)
-    lb = left.withColumn("_bin", F.explode(F.sequence(bin_of(l0), bin_of(l1))))
-    rb = right.withColumn("_bin", F.explode(F.sequence(bin_of(r0), bin_of(r1))))
-    meet = (F.col(l0) <= F.col(r1)) & (F.col(r0) <= F.col(l1))
-    first = F.col("_bin") == F.greatest(bin_of(l0), bin_of(r0))
-    return lb.join(rb, [*keys, "_bin"]).where(meet & first).drop("_bin")
+def _level(lo: str, hi: str):
+    """The power of two that an interval's length needs: at this level or a higher one it reaches into two bins at most."""
+    length = F.col(hi).cast("bigint") - F.col(lo).cast("bigint")
+    return F.when(length <= 0, 0).otherwise(F.length(F.bin(length)))
+
+
+def _in_bins(df: DataFrame, spans: list[tuple[str, str]], others: list[list[int]], side: str) -> DataFrame:
+    """Rows once for each bin they reach, in each dimension at their own level and at the higher levels of the other side."""
+    for d, ((lo, hi), levels) in enumerate(zip(spans, others, strict=True)):
+        own, grid, bin_ = f"_{side}{d}", f"_level{d}", f"_bin{d}"
+        known = F.array(*[F.lit(x) for x in levels]).cast("array<int>")
+        df = df.withColumn(own, _level(lo, hi)).withColumn(grid, F.explode(F.array_union(F.array(F.col(own)), F.filter(known, lambda x: x > F.col(own)))))
+        ends = [F.expr(f"shiftright(cast(`{c}` as bigint), `{grid}`)") for c in (lo, hi)]
+        df = df.withColumn(bin_, F.explode(F.sequence(*ends)))
+    return df
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], *spans: tuple[str, str, str, str]) -> DataFrame:
+    """Rows of both sides with equal keys whose intervals [l0, l1] and [r0, r1] meet in every dimension of ``spans`` (l0, l1, r0, r1).
+
+    Two intervals meet in a bin of the larger one's level, a power of two as wide as the interval at least.  So each side is cut at its own level and at
+    the higher ones that occur on the other side (at most 64, read first), and both sides share key, levels and bins.  A pair is kept in the first
+    bin that both reach, so it appears once."""
+    mine, theirs = [(a, b) for a, b, _, _ in spans], [(c, d) for _, _, c, d in spans]
+    seen = lambda df, ends: [sorted(df.agg(F.collect_set(_level(lo, hi))).first()[0]) for lo, hi in ends]
+    lb = _in_bins(left, mine, seen(right, theirs), "l")
+    rb = _in_bins(right, theirs, seen(left, mine), "r")
+    own = [f"_{x}{d}" for d in range(len(spans)) for x in ("level", "bin")]
+    meet = F.lit(True)
+    for d, (l0, l1, r0, r1) in enumerate(spans):
+        meet = meet & (F.col(f"_level{d}") == F.greatest(f"_l{d}", f"_r{d}")) & (F.col(l0) <= F.col(r1)) & (F.col(r0) <= F.col(l1))
+        meet = meet & (F.col(f"_bin{d}") == F.expr(f"shiftright(greatest(cast(`{l0}` as bigint), cast(`{r0}` as bigint)), `_level{d}`)"))
+    return lb.join(rb, [*keys, *own]).where(meet).drop(*own, *[f"_{x}{d}" for d in range(len(spans)) for x in "lr"])
 
 
 # --- boxes on a page -----------------------------------------------------------------

@@ -202,13 +202,11 @@ def grow_range(r):
     return grid.grow_range(r.role("sheet_cell"), r.sql(RANGES), r.sql(NAMED))
 
 
-@query("pivot_matrix", """
-    SELECT table_id, row_ix, """ + ", ".join(f"max(CASE WHEN col_ix = {c} THEN num END) AS c{c}" for c in range(7)) + " FROM src_value GROUP BY table_id, row_ix")
+@query("pivot_matrix", "SELECT * FROM (PIVOT (SELECT table_id, row_ix, 'c' || col_ix AS c, num FROM src_value) ON c USING max(num) GROUP BY table_id, row_ix)")
 def pivot_matrix(r):
     from ..sources.publish import delivery_matrix
 
-    cells = r.role("src_value").withColumn("c", F.concat(F.lit("c"), F.col("col_ix").cast("string")))
-    return delivery_matrix(cells, ["table_id", "row_ix"], "c", "num", [f"c{c}" for c in range(7)])
+    return delivery_matrix(r.role("src_value").withColumn("c", F.concat(F.lit("c"), F.col("col_ix").cast("string"))), ["table_id", "row_ix"], "c", "num")
 
 
 @query("unpivot_matrix", """

@@ -154,13 +154,12 @@ def publish_version(r):
 
 
 @query("delivery_matrix", """
-    SELECT s.table_id, v.row_ix, """ + ", ".join(
-        f"max(CASE WHEN c.label = '{y}' THEN v.num END) AS y{y}" for y in range(1995, 2002)) + """
-    FROM src_value v JOIN src_head s ON v.table_id = s.table_id JOIN src_col c ON s.k = c.k AND v.col_ix = c.ix GROUP BY s.table_id, v.row_ix""")
+    SELECT * FROM (PIVOT (SELECT s.table_id, v.row_ix, 'y' || c.label AS label, v.num FROM src_value v JOIN src_head s ON v.table_id = s.table_id JOIN src_col c ON s.k = c.k AND v.col_ix = c.ix)
+        ON label USING max(num) GROUP BY table_id, row_ix)""")
 def delivery_matrix(r):
     long = r.sql("SELECT s.table_id, v.row_ix, 'y' || c.label AS label, v.num FROM src_value v JOIN src_head s ON v.table_id = s.table_id "
                  "JOIN src_col c ON s.k = c.k AND v.col_ix = c.ix")
-    return publish.delivery_matrix(long, ["table_id", "row_ix"], "label", "num", [f"y{y}" for y in range(1995, 2002)])
+    return publish.delivery_matrix(long, ["table_id", "row_ix"], "label", "num")
 
 
 # --- scalar projections --------------------------------------------------------

@@ -1,5 +1,7 @@
 """Remembered mappings against a sequential reading of the rule."""
 
+import random
+
 from tabweave.operators import joins, learning
 
 ENTRY = "entry_ix bigint, names array<string>, basename string, fingerprint string, signature string, cats array<string>, sers array<string>"
@@ -28,7 +30,7 @@ def test_upsert_keeps_what_may_not_be_replaced(spark):
 def test_interval_join_finds_each_pair_once(spark):
     left = spark.createDataFrame([("k", i, i + 5) for i in range(0, 40, 3)], "k string, l0 int, l1 int")
     right = spark.createDataFrame([("k", i, i + 9) for i in range(0, 40, 7)], "k string, r0 int, r1 int")
-    got = sorted((r["l0"], r["r0"]) for r in joins.overlap_join(left, right, ["k"], "l0", "l1", "r0", "r1", width=4).collect())
+    got = sorted((r["l0"], r["r0"]) for r in joins.overlap_join(left, right, ["k"], ("l0", "l1", "r0", "r1")).collect())
     want = sorted((a, b) for a in range(0, 40, 3) for b in range(0, 40, 7) if a <= b + 9 and b <= a + 5)
     assert got == want
 
@@ -42,3 +44,55 @@ def test_learning_starts_from_an_empty_store(spark, tmp_path):
     stream = spark.readStream.schema(plans.schema).json(str(tmp_path / "plans"))
     learn_stream(stream, lambda: None, lambda df, n: published.extend(df.collect()), str(tmp_path / "ckpt")).awaitTermination()
     assert {(r["entry_id"], r["table_id"], r["range_mode"]) for r in published} == {("t1", "s1", "exact"), ("t2", "s2", "exact")}
+
+
+def test_regions_meet_in_two_dimensions(spark):
+    """Nested, touching, crossing and very large regions, beside single cells."""
+    rng = random.Random(6)
+
+    def box():
+        r, c = rng.randint(-20, 60), rng.randint(0, 30)
+        h, w = rng.choice([0, 0, 1, 3, 4, 7, 500]), rng.choice([0, 1, 2, 8, 31])
+        return r, c, r + h, c + w
+
+    left = [(i, i % 2, *box()) for i in range(120)] + [(500, 0, 0, 0, 1 << 30, 40), (501, 1, 8, 8, 15, 15)]
+    right = [(i, i % 2, *box()) for i in range(120)] + [(500, 0, 16, 0, 16, 0), (501, 1, 15, 15, 15, 15), (502, 1, 16, 15, 20, 20)]
+    schema = "{0} int, k int, {0}r0 int, {0}c0 int, {0}r1 int, {0}c1 int"
+    hit = joins.overlap_join(spark.createDataFrame(left, schema.format("l")), spark.createDataFrame(right, schema.format("r")), ["k"],
+                             ("lr0", "lr1", "rr0", "rr1"), ("lc0", "lc1", "rc0", "rc1"))
+    got = sorted((r["l"], r["r"]) for r in hit.collect())
+    want = sorted((a[0], b[0]) for a in left for b in right if a[1] == b[1] and a[2] <= b[4] and b[2] <= a[4] and a[3] <= b[5] and b[3] <= a[5])
+    assert got == want and set(hit.columns) == {"k", *[f"{s}{x}" for s in "lr" for x in ("", "r0", "c0", "r1", "c1")]}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def test_alike_sets_are_found_among_few_candidates(spark):
+    """Every set has the label TOTAL; candidates grow with the sets that are alike."""
+    rng = random.Random(7)
+    sets = []
+    for g in range(60):
+        base = {f"G{g} {i}" for i in range(rng.randint(2, 9))} | {"TOTAL"}
+        sets += [base, base - {rng.choice(sorted(base))}, base | {f"X{g}"}]
+    sets += [{"TOTAL"}, {"TOTAL"}, set(), {"TOTAL", "A"}]
+    left = spark.createDataFrame([(f"e{i}", p, sorted(s)) for i, s in enumerate(sets) for p in "cs"], "eset string, part string, labels array<string>")
+    right = spark.createDataFrame([(f"s{i}", p, sorted(s)) for i, s in enumerate(sets) for p in "cs"], "sset string, part string, labels array<string>")
+    got = {(r.eset, r.sset) for r in learning.set_candidates(left, right, 0.6).collect()}
+    need = {(f"e{i}", f"s{j}") for i, a in enumerate(sets) for j, b in enumerate(sets) if jaccard(a, b) >= 0.6}
+    assert need <= got and len(got) < 3 * len(need) < len(sets) ** 2 / 10
+
+
+def test_source_candidates_equal_all_pairs(spark):
+    rng = random.Random(8)
+    labels = [f"L{i}" for i in range(12)]
+    pick = lambda: rng.sample(labels, rng.randint(0, 5))
+    entries = [(i, "", "", pick(), pick()) for i in range(40)]
+    sources = [(f"t{i}", i, "s", pick(), pick()) for i in range(40)]
+    found = learning.source_candidates(
+        spark.createDataFrame(entries, "entry_ix long, basename string, signature string, cats array<string>, sers array<string>"),
+        spark.createDataFrame(sources, "table_id string, table_ix long, signature string, cats array<string>, sers array<string>"))
+    got = {(r.entry_ix, r.table_id): r.score for r in found.collect()}
+    every = {(e[0], s[0]): (jaccard(set(e[3]), set(s[3])) + jaccard(set(e[4]), set(s[4]))) / 2 for e in entries for s in sources}
+    assert got == {p: w for p, w in every.items() if w >= 0.6} and got
