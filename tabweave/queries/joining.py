@@ -82,21 +82,30 @@ LEARNED_SQL = f"""
             FROM en e JOIN so s ON e.block = s.block AND (list_has_any(e.cats, s.cats) OR list_has_any(e.sers, s.sers))) j WHERE score >= 0.6)"""
 
 
-def _remembered(r):
+def remembered_sources(r):
+    """Sources and contracts with what entries remember of them."""
     tables = r.source_tables()
     block = F.coalesce("block_id", F.lit(0)).cast("string")
     for c in ("categories", "series"):
         tables = tables.withColumn(c, F.transform(c, lambda v: F.concat(v, F.lit(" B"), block)))
     n = lambda c, name: F.transform(c, lambda v: norm_label(v, plus=False)).alias(name)
     src = tables.select("k", "table_id", "table_ix", hashing.source_signature("categories", "series").alias("signature"), n("categories", "cats"), n("series", "sers"))
-    prints = r.targets().select("k", "target_id", hashing.target_fingerprint("object_type", "categories", "series").alias("fingerprint"))
+    return src, r.targets().select("k", "target_id", hashing.target_fingerprint("object_type", "categories", "series").alias("fingerprint"))
+
+
+def with_renamed(src):
+    """A seventh of the sources were renamed since."""
+    renamed = F.when(F.col("k") % 7 == 3, F.concat(F.lit("renamed/"), "table_id", F.lit("2"))).otherwise(F.col("table_id"))
+    return src.withColumn("table_id", renamed)
+
+
+def _remembered(r):
+    src, prints = remembered_sources(r)
     entries = (
         _entries(r).join(src.select(F.col("k").alias("entry_ix"), "signature", "cats", "sers"), "entry_ix")
         .join(prints.select(F.col("k").alias("entry_ix"), "fingerprint"), "entry_ix")
     )
-    # a seventh of the sources were renamed since
-    renamed = F.when(F.col("k") % 7 == 3, F.concat(F.lit("renamed/"), "table_id", F.lit("2"))).otherwise(F.col("table_id"))
-    return entries, src.withColumn("table_id", renamed), prints
+    return entries, with_renamed(src), prints
 
 
 @query("cascade_join", f"""

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import base_name
+from ..operators import learning
+from ..operators.learning import ENTRIES
+from ..sources.keyed import KeyedTable
 from ..sources.logs import stream_events
 from ..streaming import logs as streaming
 from .registry import query
-from .joining import EXISTING, RUN
+from .joining import ALIASES, EXISTING, LEARNED_SQL, ORDERED_SQL, RUN, remembered_sources, with_renamed
 from .reporting import PRICED_SQL, RATES, USAGE_SQL
 from .scalars import scratch
 
@@ -60,23 +64,37 @@ def stream_audit(r):
     return r.spark.read.parquet(out).select("event_id", "tenant", "actor", "action", "identified")
 
 
+STORED = """SELECT entry_id, table_id, fingerprint, confidence, cell_range, range_mode, updated_at, CAST(entry_ix AS BIGINT) AS entry_ix,
+    CAST(NULL AS ARRAY<STRING>) AS aliases, CAST(NULL AS STRING) AS basename, CAST(NULL AS STRING) AS signature, CAST(NULL AS ARRAY<STRING>) AS cats, CAST(NULL AS ARRAY<STRING>) AS sers FROM ({})"""
+
+
 @query("stream_learn", f"""
     WITH old AS ({EXISTING}), run AS ({RUN})
     SELECT entry_id, table_id, confidence FROM old WHERE entry_id NOT IN (SELECT target_id FROM run) UNION ALL SELECT target_id, table_id, round(confidence, 4) FROM run""")
 def stream_learn(r):
-    root = scratch(r, "learned")
-    start = r.sql(EXISTING)
-    start.select("entry_id", "table_id", "fingerprint", "confidence", "cell_range", "range_mode", "updated_at", F.col("entry_ix")).write.parquet(f"{root}/version=-1")
-    versions = [-1]
-
-    def read():
-        return r.spark.read.parquet(f"{root}/version={versions[-1]}")
-
-    def publish(df, batch_id):
-        # new entries are numbered after the ones that exist
-        df.withColumn("entry_ix", F.xxhash64("entry_id")).write.mode("overwrite").parquet(f"{root}/version={batch_id}")
-        versions.append(batch_id)
-
+    store = KeyedTable(scratch(r, "learned"), "entry_id", ENTRIES)
+    store.upsert(r.sql(STORED.format(EXISTING)), -1)
     stream = _as_stream(r, r.sql(RUN), "plans-log", "target_id")
-    streaming.learn_stream(stream, read, publish, scratch(r, "learn-ckpt")).awaitTermination()
-    return read().select("entry_id", "table_id", "confidence")
+    streaming.learn_stream(stream, store, scratch(r, "learn-ckpt")).awaitTermination()
+    return store.read(r.spark).select("entry_id", "table_id", "confidence")
+
+
+LOOP_RUN = "SELECT k, target_id FROM job WHERE score >= 0.4"
+
+
+@query("learning_loop", f"""
+    WITH RECURSIVE {LEARNED_SQL.replace('FROM learned l JOIN st s ON s.k = l.entry_ix', "FROM (SELECT k AS entry_ix, target_id, '' AS basename FROM job WHERE score >= 0.4) l JOIN st s ON s.k = l.entry_ix")
+        .replace('e.basename)', "regexp_extract((SELECT table_id FROM st WHERE st.k = e.entry_ix), '[^/]*$'))")},
+    tg AS (SELECT k AS entry_ix, target_id FROM job WHERE score >= 0.4), {ORDERED_SQL.format(edges='cand JOIN tg USING (entry_ix)')}
+    SELECT target_id, table_id, CAST(step AS INT) AS step FROM g WHERE ok""")
+def learning_loop(r):
+    """A run is learned into a table of entries, sources are renamed, and the entries are read back to find them."""
+    src, prints = remembered_sources(r)
+    run = r.sql(LOOP_RUN).join(src.drop("table_ix"), "k").join(prints.select("k", "fingerprint"), "k").select(
+        "target_id", "table_id", "fingerprint", F.lit(0.5).alias("confidence"), F.col("k").cast("long").alias("plan_ix"), F.array("target_id").alias("aliases"),
+        base_name("table_id").alias("basename"), "signature", "cats", "sers")
+    store = KeyedTable(scratch(r, "loop"), "entry_id", ENTRIES)
+    store.upsert(learning.learned_rows(store.read(r.spark), run, "2024"), 0)
+    renamed = with_renamed(src)
+    out = learning.resolve_learned(learning.as_entries(store.read(r.spark)), r.sql(ALIASES), prints.select("target_id", "fingerprint"), renamed)
+    return out.select("target_id", "table_id", "step")

@@ -6,14 +6,13 @@ query is its only writer's progress, so no lock is needed.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.aggregates import latest_state, usage_cost
-from ..operators.learning import learn_mappings
+from ..operators.learning import learned_rows
+from ..sources.keyed import KeyedTable
 
 
 def usage_hourly(calls: DataFrame, rates, late: str = "2 hours") -> DataFrame:
@@ -37,20 +36,17 @@ def audit_stream(entries: DataFrame, late: str = "2 hours") -> DataFrame:
     return audit_rows(entries.withWatermark("at", late).dropDuplicatesWithinWatermark(["event_id"]))
 
 
-#: What learning reads of stored entries.
-ENTRIES = "entry_id string, table_id string, fingerprint string, confidence double, cell_range string, range_mode string, updated_at string, entry_ix long"
-
-
-def learn_stream(plans: DataFrame, read: Callable[[], DataFrame | None], publish: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Merge each micro-batch of plans into the current entries and publish the
-    result as the version of that batch; replaying a batch writes the same version.
-    ``read`` gives None while nothing was ever published: the store is then empty."""
+def learn_stream(plans: DataFrame, store: KeyedTable, checkpoint: str) -> StreamingQuery:
+    """Merge each micro-batch of plans into a table of entries (``ENTRIES``), as the version of that batch.  Only the buckets of its ids are rewritten, a
+    replayed batch finds its version complete, and after a restart the store itself tells what is current."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        current = read()
-        if current is None:
-            current = batch.sparkSession.createDataFrame([], ENTRIES)
-        publish(learn_mappings(current, batch, str(batch_id)), batch_id)
+        current = store.read(batch.sparkSession)
+        learned = learned_rows(current, batch, str(batch_id))
+        for field in current.schema:
+            if field.name not in learned.columns:
+                learned = learned.withColumn(field.name, F.lit(None).cast(field.dataType))
+        store.upsert(learned, batch_id)
 
     return plans.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

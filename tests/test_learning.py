@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tabweave.operators import joins, learning
 
 ENTRY = "entry_ix bigint, names array<string>, basename string, fingerprint string, signature string, cats array<string>, sers array<string>"
@@ -35,15 +37,63 @@ def test_interval_join_finds_each_pair_once(spark):
     assert got == want
 
 
-def test_learning_starts_from_an_empty_store(spark, tmp_path):
+PLAN = "target_id string, table_id string, fingerprint string, confidence double"
+
+
+def test_learning_goes_on_after_a_restart(spark, tmp_path):
+    """A second process finds the current version in the store, a replayed batch changes nothing, and a lost manifest leaves the version before."""
+    from tabweave.sources.keyed import KeyedTable
     from tabweave.streaming.logs import learn_stream
 
-    plans = spark.createDataFrame([("t1", "s1", "f1", 0.9), ("t2", "s2", "f2", 0.5)], "target_id string, table_id string, fingerprint string, confidence double")
-    plans.write.json(str(tmp_path / "plans"))
-    published = []
-    stream = spark.readStream.schema(plans.schema).json(str(tmp_path / "plans"))
-    learn_stream(stream, lambda: None, lambda df, n: published.extend(df.collect()), str(tmp_path / "ckpt")).awaitTermination()
-    assert {(r["entry_id"], r["table_id"], r["range_mode"]) for r in published} == {("t1", "s1", "exact"), ("t2", "s2", "exact")}
+    root, log = str(tmp_path / "store"), str(tmp_path / "plans")
+
+    def run(rows):
+        plans = spark.createDataFrame(rows, PLAN)
+        plans.coalesce(1).write.mode("append").json(log)
+        learn_stream(spark.readStream.schema(plans.schema).json(log), KeyedTable(root, "entry_id", learning.ENTRIES, 16), str(tmp_path / "ckpt")).awaitTermination()
+        store = KeyedTable(root, "entry_id", learning.ENTRIES, 16)
+        return store, {(r["entry_id"], r["table_id"], r["range_mode"]) for r in store.read(spark).collect()}
+
+    assert KeyedTable(root, "entry_id", learning.ENTRIES).read(spark).collect() == []
+    store, got = run([("t1", "s1", "f1", 0.9), ("t2", "s2", "f2", 0.5)])
+    assert got == {("t1", "s1", "exact"), ("t2", "s2", "exact")} and store.version(spark) == 0
+    store, got = run([("t2", "s9", "f2", 0.5), ("t3", "s3", "f3", 0.5)])
+    assert got == {("t1", "s1", "exact"), ("t2", "s9", "exact"), ("t3", "s3", "exact")} and store.version(spark) == 1
+    assert {r["table_id"] for r in store.read(spark, 0).collect()} == {"s1", "s2"}
+    replay = store.read(spark).where("entry_id = 't1'").withColumn("table_id", F.lit("other"))
+    assert store.upsert(replay, 1) == 0 and store.version(spark) == 1
+    # data of a version whose manifest never came
+    replay.withColumn("bucket", F.lit(3)).write.partitionBy("bucket").parquet(f"{root}/data/version=2")
+    assert {r["table_id"] for r in store.read(spark).collect()} == {"s1", "s9", "s3"}
+    assert store.upsert(replay, 2) == 1 and {r["table_id"] for r in store.read(spark).collect()} == {"other", "s9", "s3"}
+
+
+def test_writes_grow_with_the_batch(spark, tmp_path):
+    from tabweave.sources.keyed import KeyedTable
+
+    store = KeyedTable(str(tmp_path / "t"), "id", "id long, v long", 64)
+    assert store.upsert(spark.range(5000).selectExpr("id", "id v"), 0) == 64
+    assert store.upsert(spark.createDataFrame([(7, -1), (9000, -2)], "id long, v long"), 1) <= 2
+    written = spark.read.parquet(str(tmp_path / "t/data/version=1")).count()
+    assert written < 5000 / 64 * 4
+    got = {r.id: r.v for r in store.read(spark).collect()}
+    assert len(got) == 5001 and got[7] == -1 and got[9000] == -2 and got[8] == 8
+    assert store.upsert(spark.createDataFrame([], "id long, v long"), 2) == 0 and store.read(spark).count() == 5001
+
+
+def test_entries_keep_their_order_and_can_be_read_again(spark):
+    stored = spark.createDataFrame([("b", "s0", "f9", 0.1, "A1:B2", "dynamic", "0", 4, None, None, None, None, None)], learning.ENTRIES)
+    plans = spark.createDataFrame([("a", "dir/x.xlsx", "f1", 0.9, 0, ["a", "alt"], "x.xlsx", "sig", ["C"], ["S"]), ("b", "dir/y.xlsx", "f2", 0.8, 1, ["b"], "y.xlsx", "sig2", ["D"], ["T"])],
+                                  PLAN + ", plan_ix long, aliases array<string>, basename string, signature string, cats array<string>, sers array<string>")
+    out = {r.entry_id: r for r in learning.learn_mappings(stored, plans, "1").collect()}
+    assert (out["b"].entry_ix, out["b"].cell_range, out["b"].range_mode, out["a"].entry_ix) == (4, "A1:B2", "dynamic", 5)
+    entries = learning.as_entries(learning.learn_mappings(stored, plans, "1"))
+    # both contracts have new names, one source too
+    aliases = spark.createDataFrame([("alt", "new a", 0)], "alias string, target_id string, target_ix bigint")
+    prints = spark.createDataFrame([("new a", "g1"), ("new b", "f2")], "target_id string, fingerprint string")
+    sources = spark.createDataFrame([("dir/renamed.xlsx", 0, "sig", ["C"], ["S"]), ("dir/y.xlsx", 1, "other", ["D"], ["T"])], SOURCE)
+    got = learning.resolve_learned(entries, aliases, prints, sources).collect()
+    assert {(r.target_id, r.table_id, r.step) for r in got} == {("new a", "dir/renamed.xlsx", 1), ("new b", "dir/y.xlsx", 0)}
 
 
 def test_regions_meet_in_two_dimensions(spark):
