@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scores import coverage, soft_score
+from ..functions.text import norm_label
+
 # The levels decisions switch at.
 PLAUSIBLE, REVIEW_BELOW, BLOCK_BELOW = 0.30, 0.80, 0.82
 AMBIGUOUS_GAP, MATCH_FLOOR = 0.08, 0.68
@@ -25,6 +28,25 @@ def legacy_score(header, row, variable, opening, metadata, same_id=None) -> Colu
     return total if same_id is None else F.when(F.col(same_id), 1.0).otherwise(total)
 
 
+def legacy_parts(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the five parts of the legacy score (header, row, variable, opening, metadata) and ``same_id``, measured from texts.
+
+    Arrays of labels: headers, rows, source_headers, source_rows.  Texts: variable, hints, opening, opening_hints (of the mapping), target_text, question,
+    source_text.  Names: graph_id (of the mapping), target_graph_id, source_graph_id, '' where unknown.  Labels and texts are compared by the legacy rule;
+    an axis counts with the mean of its labels' best scores."""
+    normed = lambda c: F.transform(c, lambda v: norm_label(v, plus=False))
+    like = lambda a, b: soft_score(norm_label(a, plus=False), norm_label(b, plus=False), "legacy", rules=False)
+    heads = F.array_join("source_headers", " ")
+    known = F.col("source_graph_id") != ""
+    return pairs.withColumns({
+        "header": coverage(normed("headers"), normed("source_headers"), "legacy"), "row": coverage(normed("rows"), normed("source_rows"), "legacy"),
+        "variable_part": F.greatest(like("variable", "question"), like("hints", "source_text"), like("target_text", "source_text") * 0.7),
+        "opening_part": F.greatest(like("opening", heads), like("opening_hints", heads)),
+        "metadata": F.when(known & F.col("source_graph_id").isin(F.col("graph_id"), F.col("target_graph_id")), 1.0).otherwise(0.0),
+        "same_id": known & (F.col("graph_id") == F.col("source_graph_id")),
+    })
+
+
 def ambiguity(edges: DataFrame, floor: float = MATCH_FLOOR, gap: float = AMBIGUOUS_GAP) -> DataFrame:
     """Per contract: matched, ambiguous_source or missing_source, from the best two
     scores.  The two are kept by aggregates that merge before the shuffle."""

@@ -8,15 +8,54 @@ from ..functions import hashing
 from ..operators import aggregates, candidates, joins, review
 from .matching import EDGES_SQL, edges_of
 from .registry import query
-from .roles import norm_sql
-
-PARTS = """SELECT k, (k % 11) / 10 AS h, (k % 7) / 7 AS w, (k % 13) / 13 AS v, (k % 3) / 3 AS o, (k % 2) / 2 AS m, k % 50 = 0 AS same FROM tgt_head"""
-
-
-@query("legacy_score", """
-    SELECT k, round(CASE WHEN k % 50 = 0 THEN 1 ELSE least(1, 0.44 * ((k % 11) / 10) + 0.34 * ((k % 7) / 7) + 0.14 * ((k % 13) / 13) + 0.05 * ((k % 3) / 3) + 0.03 * ((k % 2) / 2)) END, 6) AS score FROM tgt_head""")
+from .roles import norm_sql, overlap_sql
+
+def _legacy_sql(a: str, b: str) -> str:
+    """SQL text of the legacy comparison of two normalized texts."""
+    x, y = f"replace({a}, ' ', '')", f"replace({b}, ' ', '')"
+    return f"""(CASE WHEN {a} = '' OR {b} = '' THEN 0.0 WHEN {x} = {y} THEN 1.0 WHEN len({x}) > 2 AND len({y}) > 2 AND (contains({x}, {y}) OR contains({y}, {x})) THEN 0.92
+        ELSE greatest({overlap_sql(a, b)}, 0.75 * (1 - CAST(levenshtein({x}, {y}) AS DOUBLE) / greatest(len({x}), len({y}), 1))) END)"""
+
+
+_P = lambda x: norm_sql(x, plus=False)
+# every second contract beside the sheet of its neighbour
+PARTS_SQL = f"""
+    pa AS MATERIALIZED (SELECT t.k, t.categories AS h, t.series AS w, s.categories AS sh, s.series AS sw, {_P('t.title')} AS va, {_P('s.title')} AS qu, {_P("t.title || ' ' || t.nearby_text")} AS hi,
+            {_P("s.file_name || ' ' || s.title || ' ' || array_to_string(s.categories, ' ') || ' ' || array_to_string(s.series, ' ')")} AS st,
+            {_P("t.target_id || ' ' || t.nearby_text || ' ' || array_to_string(t.categories, ' ') || ' ' || array_to_string(t.series, ' ')")} AS tt,
+            {_P('t.nearby_text')} AS op, {_P("t.nearby_text || ' ' || t.title")} AS oh, {_P("array_to_string(s.categories, ' ')")} AS hd, s.graph_id AS sg, t.target_id AS tg, 'G' || t.k AS mg
+          FROM target t JOIN source_table s ON s.k = CASE WHEN t.k % 2 = 0 THEN t.k + 1 ELSE t.k END WHERE t.object_type = 'chart'),
+    ax AS (SELECT k, 'h' AS axis, {_P('unnest(h)')} AS l FROM pa UNION ALL SELECT k, 'w', {_P('unnest(w)')} FROM pa),
+    sx AS (SELECT DISTINCT k, axis, r FROM (SELECT k, 'h' AS axis, {_P('unnest(sh)')} AS r FROM pa UNION ALL SELECT k, 'w', {_P('unnest(sw)')} FROM pa) z),
+    co AS (SELECT k, axis, sum(b * n) / sum(n) AS c FROM (SELECT ax.k, ax.axis, ax.l, n, max({_legacy_sql('ax.l', 'sx.r')}) AS b FROM (SELECT k, axis, l, count(*) AS n FROM ax WHERE l <> '' GROUP BY ALL) ax
+            JOIN sx ON sx.k = ax.k AND sx.axis = ax.axis GROUP BY ALL) z GROUP BY ALL),
+    parts AS MATERIALIZED (SELECT k, coalesce((SELECT c FROM co WHERE co.k = pa.k AND axis = 'h'), 0) AS header, coalesce((SELECT c FROM co WHERE co.k = pa.k AND axis = 'w'), 0) AS row_part,
+            greatest({_legacy_sql('va', 'qu')}, {_legacy_sql('hi', 'st')}, 0.7 * {_legacy_sql('tt', 'st')}) AS variable, greatest({_legacy_sql('op', 'hd')}, {_legacy_sql('oh', 'hd')}) AS opening,
+            CASE WHEN sg <> '' AND sg IN (mg, tg) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS metadata, sg <> '' AND sg = mg AS same_id FROM pa)"""
+
+
+def _parts(r):
+    t = r.targets().where("object_type = 'chart'").select(
+        "k", F.when(F.col("k") % 2 == 0, F.col("k") + 1).otherwise(F.col("k")).alias("sk"), F.col("categories").alias("headers"), F.col("series").alias("rows"), F.col("title").alias("variable"),
+        F.concat_ws(" ", "title", "nearby_text").alias("hints"), F.col("nearby_text").alias("opening"), F.concat_ws(" ", "nearby_text", "title").alias("opening_hints"),
+        F.concat_ws(" ", "target_id", "nearby_text", F.array_join("categories", " "), F.array_join("series", " ")).alias("target_text"),
+        F.concat(F.lit("G"), F.col("k").cast("string")).alias("graph_id"), F.col("target_id").alias("target_graph_id"))
+    s = r.source_tables().select(
+        F.col("k").alias("sk"), F.col("categories").alias("source_headers"), F.col("series").alias("source_rows"), F.col("title").alias("question"),
+        F.concat_ws(" ", "file_name", "title", F.array_join("categories", " "), F.array_join("series", " ")).alias("source_text"), F.col("graph_id").alias("source_graph_id"))
+    return review.legacy_parts(t.join(s, "sk"))
+
+
+@query("legacy_parts", f"WITH {PARTS_SQL} SELECT k, round(header, 6) AS header, round(row_part, 6) AS row_part, round(variable, 6) AS variable, round(opening, 6) AS opening, metadata, same_id FROM parts")
+def legacy_parts(r):
+    six = lambda c, name: F.round(c, 6).alias(name)
+    return _parts(r).select("k", six("header", "header"), six("row", "row_part"), six("variable_part", "variable"), six("opening_part", "opening"), "metadata", "same_id")
+
+
+@query("legacy_score", f"""
+    WITH {PARTS_SQL} SELECT k, round(CASE WHEN same_id THEN 1 ELSE least(1, 0.44 * header + 0.34 * row_part + 0.14 * variable + 0.05 * opening + 0.03 * metadata) END, 6) AS score FROM parts""")
 def legacy_score(r):
-    return r.sql(PARTS).select("k", F.round(review.legacy_score("h", "w", "v", "o", "m", "same"), 6).alias("score"))
+    return _parts(r).select("k", F.round(review.legacy_score("header", "row", "variable_part", "opening_part", "metadata", "same_id"), 6).alias("score"))
 
 
 @query("ambiguity", f"""
