@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.choices import typed_cell
+from ..functions.numbers import parse_number
 
 _CELL = r"^[A-Za-z]{1,4}\d{1,7}(:[A-Za-z]{1,4}\d{1,7})?$"
 
@@ -67,3 +71,61 @@ def matrix_shape_ok(cells: DataFrame, expected: DataFrame) -> DataFrame:
     shape = rows.groupBy("target_id").agg(F.count("*").alias("n_rows"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     ok = (F.col("lo") == F.col("hi")) & (F.col("n_rows") == F.col("want_rows")) & (F.col("hi") == F.col("want_cols"))
     return expected.join(shape, "target_id", "left").select("target_id", F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+class Resolved(NamedTuple):
+    """decisions: target_id, outcome, reading, percent.  axes: target_id, axis, ix, label.  values: target_id, row_ix, col_ix, text, num."""
+
+    decisions: DataFrame
+    axes: DataFrame
+    values: DataFrame
+
+
+def resolve_matrix(plans: DataFrame, axes: DataFrame, values: DataFrame, headers: DataFrame, cells: DataFrame) -> Resolved:
+    """Plans with proposed matrices in place of theirs where a proposal can be read; the others keep what they have.
+
+    ``plans``: target_id, orientation, object_type, status; ``axes``: target_id, axis ('category' or 'series'), ix, label; ``values``: target_id,
+    row_ix, col_ix, num.  A proposal has ``headers`` (target_id, ix, text) and ``cells`` (target_id, row_ix, col_ix, text), the first cell of a row being
+    its label.  The orientation says which axis the rows are.  The column axis is read from the headers: the filled ones if there is one for each
+    column, else those after the corner, else the plan keeps its own axis.  Only charts in review are corrected, and only by rows of one length that
+    is the column axis' length; ``outcome`` says what was in the way.  Numbers lose a percent sign, blanks are null, other texts stay as ``text``.
+    Indexes may have gaps; null texts are blank."""
+    text = F.trim(F.coalesce("text", F.lit("")))
+    headers, cells = headers.withColumn("text", text), cells.withColumn("text", text)
+    rows = cells.groupBy("target_id", "row_ix").agg(F.count("*").alias("n"), F.max(F.col("text").contains("%")).alias("p"))
+    shape = rows.groupBy("target_id").agg(F.count("*").alias("n_rows"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("p").alias("percent"))
+    heads = headers.groupBy("target_id").agg(F.count("*").alias("n_heads"), F.count_if(F.col("text") != "").alias("n_clean"))
+    own = axes.groupBy("target_id", F.col("axis").alias("col_axis")).agg(F.count("*").alias("n_own"))
+    by_series = F.col("orientation") == "series_rows_categories_columns"
+    d = plans.withColumn("col_axis", F.when(by_series, "category").otherwise("series")).join(shape, "target_id", "left").join(
+        heads, "target_id", "left").join(own, ["target_id", "col_axis"], "left").fillna(0, ["n_rows", "lo", "hi", "n_heads", "n_clean", "n_own"])
+    width = F.col("hi") - 1
+    reading = F.when(F.col("n_clean") == width, "filled").when(F.col("n_heads") == width + 1, "after corner").when(F.col("n_own") == width, "kept").when(
+        F.col("n_clean") > 0, "filled").otherwise("kept")
+    n_cols = F.when(F.col("reading") == "filled", F.col("n_clean")).when(F.col("reading") == "kept", F.col("n_own")).otherwise(F.col("n_heads") - 1)
+    outcome = (
+        F.when(F.coalesce("object_type", F.lit("")) != "chart", "not a chart").when(F.lower(F.coalesce("status", F.lit(""))) != "review", "not in review")
+        .when(F.col("n_rows") == 0, "no rows").when((n_cols <= 0) | (F.col("lo") != F.col("hi")) | (width != n_cols), "shape differs").otherwise("corrected")
+    )
+    d = d.withColumn("reading", reading).withColumn("outcome", outcome)
+    fixed = d.where("outcome = 'corrected'").select("target_id", "col_axis", "reading")
+    row_axis = F.when(F.col("col_axis") == "category", "series").otherwise("category")
+
+    # places without gaps
+    place = lambda *keys: F.row_number().over(W.partitionBy("target_id", *keys[:-1]).orderBy(keys[-1])) - 1
+    row_places = rows.select("target_id", "row_ix").withColumn("_row", place("row_ix"))
+    new = cells.join(fixed, "target_id").join(row_places, ["target_id", "row_ix"]).withColumn("_col", place("row_ix", "col_ix"))
+    chosen = headers.join(fixed.where("reading <> 'kept'"), "target_id").withColumn("_at", place("ix"))
+    chosen = chosen.where(F.when(F.col("reading") == "filled", F.col("text") != "").otherwise(F.col("_at") > 0)).withColumn("_at", place("ix"))
+    stays = axes.join(fixed, "target_id", "left").where(F.col("reading").isNull() | ((F.col("reading") == "kept") & (F.col("axis") == F.col("col_axis"))))
+    all_axes = (
+        new.where("_col = 0").select("target_id", row_axis.alias("axis"), F.col("_row").alias("ix"), F.col("text").alias("label"))
+        .unionByName(chosen.select("target_id", F.col("col_axis").alias("axis"), F.col("_at").alias("ix"), F.col("text").alias("label")))
+        .unionByName(stays.select("target_id", "axis", "ix", "label"))
+    )
+    number = parse_number(F.replace(F.col("text"), F.lit(" "), F.lit("")))
+    proposed = new.where("_col > 0").withColumn("num", number).select(
+        "target_id", F.col("_row").alias("row_ix"), (F.col("_col") - 1).alias("col_ix"), F.when(F.col("num").isNull(), F.nullif(F.col("text"), F.lit(""))).alias("text"), "num")
+    kept = values.join(fixed, "target_id", "left_anti").select("target_id", "row_ix", "col_ix", F.lit(None).cast("string").alias("text"), "num")
+    decisions = d.select("target_id", "outcome", F.when(F.col("outcome") == "corrected", F.col("reading")).alias("reading"), F.coalesce("percent", F.lit(False)).alias("percent"))
+    return Resolved(decisions, all_axes, proposed.unionByName(kept))

@@ -247,6 +247,56 @@ def matrix_shape_ok(r):
     return contracts.matrix_shape_ok(r.sql(PROPOSED.format(S="STRING")), want)
 
 
+# proposed matrices: headers with and without a corner, blank ones, too few; rows of one length and ragged ones
+RESOLVE = {
+    "pl": "SELECT target_id, orientation, object_type, CASE WHEN k % 7 = 2 THEN 'ok' ELSE 'Review' END AS status FROM tgt_head",
+    "hd": """SELECT h.target_id, c.ix * 2 + 2 AS ix, CASE WHEN h.k % 16 = 6 THEN ' ' ELSE c.label END AS text FROM tgt_head h JOIN src_col c ON c.k = h.k WHERE h.k % 4 <> 3 OR c.ix > 0
+        UNION ALL SELECT target_id, 0, CASE WHEN k % 4 = 0 THEN 'Corner' END FROM tgt_head WHERE k % 4 <> 3""",
+    "ce": """SELECT h.target_id, r.ix * 3 AS row_ix, 0 AS col_ix, r.label AS text FROM tgt_head h JOIN src_row r ON r.k = h.k WHERE h.k % 13 <> 5
+        UNION ALL SELECT h.target_id, r.ix * 3, c.ix + 1, CASE (h.k + r.ix + c.ix) % 6 WHEN 0 THEN '' WHEN 1 THEN c.ix || ',5%' WHEN 2 THEN '1.234,25' WHEN 3 THEN 'n/a' WHEN 4 THEN ' - 3 ' ELSE ',75' END
+        FROM tgt_head h JOIN src_row r ON r.k = h.k JOIN src_col c ON c.k = h.k WHERE h.k % 13 <> 5 AND NOT (h.k % 11 = 4 AND r.ix = 1 AND c.ix = 0)""",
+    "va": "SELECT h.target_id, v.row_ix, v.col_ix, v.num FROM src_value v JOIN src_head s ON s.table_id = v.table_id JOIN tgt_head h ON h.k = s.k",
+}
+
+
+@query("resolve_matrix", f"""
+    WITH {', '.join(f'{n} AS ({q})' for n, q in RESOLVE.items())},
+    ax AS (SELECT target_id, 'category' AS axis, i - 1 AS ix, categories[i] AS label FROM (SELECT *, unnest(range(1, len(categories) + 1)) AS i FROM target) t
+        UNION ALL SELECT target_id, 'series', i - 1, series[i] FROM (SELECT *, unnest(range(1, len(series) + 1)) AS i FROM target) t),
+    m AS (SELECT target_id, list(n) AS ns, count(*) AS n_rows, bool_or(p) AS p FROM (SELECT target_id, row_ix, count(*) AS n, bool_or(contains(text, '%')) AS p FROM ce GROUP BY 1, 2) r GROUP BY 1),
+    hh AS (SELECT target_id, list(trim(coalesce(text, '')) ORDER BY ix) AS hs FROM hd GROUP BY 1),
+    oo AS (SELECT target_id, axis, list(label ORDER BY ix) AS own FROM ax GROUP BY 1, 2),
+    a AS (SELECT pl.*, CASE WHEN orientation LIKE 'series%' THEN 'category' ELSE 'series' END AS ca, ns, n_rows, p, coalesce(hs, []) AS hs, list_filter(coalesce(hs, []), lambda x: x <> '') AS fs, list_max(ns) - 1 AS w
+        FROM pl LEFT JOIN m USING (target_id) LEFT JOIN hh USING (target_id)),
+    b AS (SELECT a.*, coalesce(own, []) AS own, CASE WHEN len(fs) = w THEN 'filled' WHEN len(hs) = w + 1 THEN 'after corner' WHEN len(coalesce(own, [])) = w THEN 'kept' WHEN len(fs) > 0 THEN 'filled' ELSE 'kept' END AS rd
+        FROM a LEFT JOIN oo ON oo.target_id = a.target_id AND oo.axis = a.ca),
+    c AS (SELECT *, CASE rd WHEN 'filled' THEN fs WHEN 'kept' THEN own ELSE hs[2:] END AS cs FROM b),
+    d AS (SELECT *, CASE WHEN object_type <> 'chart' THEN 'not a chart' WHEN lower(status) <> 'review' THEN 'not in review' WHEN n_rows IS NULL THEN 'no rows'
+        WHEN len(cs) = 0 OR len(list_distinct(ns)) > 1 OR w <> len(cs) THEN 'shape differs' ELSE 'corrected' END AS oc FROM c),
+    nw AS (SELECT ce.target_id, CAST(row_ix / 3 AS BIGINT) AS r, col_ix, trim(text) AS text, replace(replace(text, '%', ''), ' ', '') AS t, ca FROM ce JOIN d ON d.target_id = ce.target_id AND oc = 'corrected'),
+    nn AS (SELECT *, TRY_CAST(replace(regexp_replace(CASE WHEN contains(t, ',') AND contains(t, '.') THEN replace(t, '.', '') ELSE t END, '^(-?),', '\\10,'), ',', '.') AS DOUBLE) AS num FROM nw)
+    SELECT target_id, 'decision' AS kind, -1 AS row_ix, -1 AS col_ix, oc || CASE WHEN oc = 'corrected' THEN ', ' || rd ELSE '' END || CASE WHEN p THEN ', percent' ELSE '' END AS text, CAST(NULL AS DOUBLE) AS num FROM d
+    UNION ALL SELECT target_id, ca, i - 1, -1, cs[i], NULL FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS i FROM d WHERE oc = 'corrected') t
+    UNION ALL SELECT target_id, CASE ca WHEN 'category' THEN 'series' ELSE 'category' END, r, -1, text, NULL FROM nw WHERE col_ix = 0
+    UNION ALL SELECT target_id, axis, ix, -1, label, NULL FROM ax WHERE target_id NOT IN (SELECT target_id FROM d WHERE oc = 'corrected')
+    UNION ALL SELECT target_id, 'value', r, col_ix - 1, CASE WHEN num IS NULL THEN nullif(text, '') END, num FROM nn WHERE col_ix > 0
+    UNION ALL SELECT target_id, 'value', row_ix, col_ix, NULL, num FROM va WHERE target_id NOT IN (SELECT target_id FROM d WHERE oc = 'corrected')""")
+def resolve_matrix(r):
+    """Decisions, axes and values of all plans after their proposals, in one long table."""
+    t = r.targets()
+    axis = lambda name, c: t.select("target_id", F.lit(name).alias("axis"), F.posexplode(c).alias("ix", "label"))
+    pl, hd, ce, va = (r.sql(q) for q in RESOLVE.values())
+    out = contracts.resolve_matrix(pl, axis("category", "categories").unionByName(axis("series", "series")), va, hd, ce)
+    long = lambda v: F.col(v).cast("bigint").alias(v)
+    none, no = F.lit(-1).cast("bigint"), F.lit(None).cast("double").alias("num")
+    said = F.concat_ws(", ", "outcome", "reading", F.when(F.col("percent"), "percent"))
+    return (
+        out.decisions.select("target_id", F.lit("decision").alias("kind"), none.alias("row_ix"), none.alias("col_ix"), said.alias("text"), no)
+        .unionByName(out.axes.select("target_id", F.col("axis").alias("kind"), F.col("ix").cast("bigint").alias("row_ix"), none.alias("col_ix"), F.col("label").alias("text"), no))
+        .unionByName(out.values.select("target_id", F.lit("value").alias("kind"), long("row_ix"), long("col_ix"), "text", "num"))
+    )
+
+
 WRITTEN = "SELECT h.target_id, v.row_ix, v.col_ix, CASE WHEN (h.k + v.row_ix) % 211 = 0 THEN 'None' ELSE 'x' END AS text FROM src_value v JOIN src_head s ON s.table_id = v.table_id JOIN tgt_head h ON h.k = s.k"
 
 
