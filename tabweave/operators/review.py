@@ -15,6 +15,7 @@ AMBIGUOUS_GAP, MATCH_FLOOR = 0.08, 0.68
 SUGGESTION_LOW, SUGGESTION_SURE = 0.72, 0.85
 BATCH_SIZE, MAX_BATCHES, WORK_FLOOR = 10, 12, 0.25
 LEGACY_WEIGHTS = {"header": 0.44, "row": 0.34, "variable": 0.14, "opening": 0.05, "metadata": 0.03}
+MISSING_NAMED = 6
 QUALITY_LEVELS = {"rows_ok": 70, "cols_ok": 80, "filled": 70, "confidence": 72}
 
 
@@ -124,6 +125,26 @@ def match_records(targets: DataFrame, ranked: DataFrame) -> DataFrame:
     return items.select("block_id", "n_targets", F.to_json(F.struct("block_id", "objects")).alias("record"))
 
 
+def quality_measures(jobs: DataFrame, fill: DataFrame, named: int = MISSING_NAMED) -> DataFrame:
+    """Per plan the percentages rows_ok, cols_ok and filled (0 to 100, one decimal), with the first ``named`` labels not found.
+
+    ``jobs``: target_id, the arrays rows, headers, source_rows, source_headers, and further columns that stay; ``fill``: target_id, n_values,
+    n_filled of its matrix.  A label is found when its review score with any label of the source reaches the match floor; blank labels are
+    not asked for.  Without labels or values the percentage is 0."""
+    out = jobs.join(fill, "target_id", "left")
+    for name, own, other in (("rows", "rows", "source_rows"), ("cols", "headers", "source_headers")):
+        empty = F.array().cast("array<string>")
+        asked = F.transform(F.coalesce(F.col(own), empty), lambda v: F.struct(v.alias("label"), norm_label(v, plus=False).alias("key")))
+        choices = F.array_distinct(F.transform(F.coalesce(F.col(other), empty), lambda v: norm_label(v, plus=False)))
+        out = out.withColumn("_asked", F.filter(asked, lambda v: v["key"] != "")).withColumn("_choices", choices)
+        lost = F.filter("_asked", lambda v: ~F.exists("_choices", lambda c: soft_score(v["key"], c, "review") >= MATCH_FLOOR))
+        out = out.withColumn("_lost", F.transform(lost, lambda v: v["label"]))
+        share = F.when(F.size("_asked") > 0, (F.size("_asked") - F.size("_lost")) * 100 / F.size("_asked")).otherwise(0.0)
+        out = out.withColumn(f"{name}_ok", F.bround(share, 1)).withColumn(f"{name}_missing", F.array_join(F.slice("_lost", 1, named), ", "))
+    filled = F.when(F.col("n_values") > 0, F.col("n_filled") * 100 / F.col("n_values")).otherwise(0.0)
+    return out.withColumn("filled", F.bround(filled, 1)).drop("_asked", "_choices", "_lost", "n_values", "n_filled", "rows", "headers", "source_rows", "source_headers")
+
+
 def quality_report(rows: DataFrame) -> DataFrame:
     """Verdict of percentages rows_ok, cols_ok, filled and confidence (0 to 100)."""
     below = lambda c: F.col(c) < QUALITY_LEVELS[c]

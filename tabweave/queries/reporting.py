@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..operators import aggregates, candidates, joins, review
+from ..operators import aggregates, candidates, contracts, joins, review
 from .matching import EDGES_SQL, edges_of
 from .registry import query
 from .roles import norm_sql, overlap_sql
@@ -136,14 +136,44 @@ def match_records(r):
         parsed["objects"], F.lit(0).cast("bigint"), lambda n, o: n + F.coalesce(F.size(o["candidates"]), F.lit(0))).alias("n_candidates"))
 
 
-QUALITY = "SELECT target_id, k % 100 AS rows_ok, (k * 7) % 101 AS cols_ok, (k * 3) % 101 AS filled, CASE WHEN k % 4 = 0 THEN NULL ELSE (k * 11) % 101 END AS confidence FROM tgt_head"
+# each plan beside its own sheet or its neighbour's, which lacks some of the labels
+JUDGED = """SELECT j.target_id, j.k, s.table_id, s.series AS source_rows, s.categories AS source_headers, j.score * 100 AS confidence
+    FROM job j JOIN source_table s ON s.k = CASE WHEN j.k % 3 = 0 THEN j.k + 1 ELSE j.k END"""
+
+
+def _judged_sql(own: str, other: str) -> str:
+    """SQL text of the labels of ``own`` that no label of ``other`` is like."""
+    n = lambda x: norm_sql(x, plus=False)
+    words = lambda x: f"list_distinct(list_filter(string_split({x}, ' '), lambda w: w <> ''))"
+    share = f"len(list_intersect({words('v.y')}, {words('c')})) >= 0.68 * greatest(len({words('v.y')}), 1)"
+    like = f"c <> '' AND (contains(v.y, c) OR contains(c, v.y) OR {share})"
+    asked = f"list_filter(list_transform({own}, lambda x: {{'x': x, 'y': {n('x')}}}), lambda v: v.y <> '')"
+    return f"list_filter({asked}, lambda v: len(list_filter(list_transform({other}, lambda z: {n('z')}), lambda c: {like})) = 0)"
+
+
+def _share_sql(own: str, lost: str) -> str:
+    asked = f"len(list_filter({own}, lambda x: {norm_sql('x', plus=False)} <> ''))"
+    return f"CASE WHEN {asked} > 0 THEN round_even(({asked} - len({lost})) * 100.0 / {asked}, 1) ELSE 0 END"
 
 
 @query("quality_report", f"""
-    SELECT target_id, concat_ws('; ', CASE WHEN rows_ok < 70 THEN 'rows' END, CASE WHEN cols_ok < 80 THEN 'columns' END, CASE WHEN filled < 70 THEN 'empty values' END, CASE WHEN confidence < 72 THEN 'confidence' END) AS alerts,
-        CASE WHEN rows_ok < 70 OR cols_ok < 80 OR filled < 70 OR coalesce(confidence < 72, false) THEN 'Review' ELSE 'OK' END AS verdict FROM ({QUALITY}) q""")
+    WITH f AS (SELECT table_id, count(num) AS n FROM src_value GROUP BY 1),
+    j AS (SELECT q.*, CASE WHEN t.orientation LIKE 'series%' THEN t.series ELSE t.categories END AS ro, CASE WHEN t.orientation LIKE 'series%' THEN t.categories ELSE t.series END AS he,
+        round_even(coalesce(f.n, 0) * 100.0 / (len(source_rows) * len(source_headers)), 1) AS filled FROM ({JUDGED}) q JOIN target t USING (target_id) LEFT JOIN f USING (table_id)),
+    l AS (SELECT *, {_judged_sql('ro', 'source_rows')} AS lr, {_judged_sql('he', 'source_headers')} AS lh FROM j),
+    m AS (SELECT *, {_share_sql('ro', 'lr')} AS rows_ok, {_share_sql('he', 'lh')} AS cols_ok FROM l)
+    SELECT target_id, CAST(rows_ok AS DOUBLE) AS rows_ok, CAST(cols_ok AS DOUBLE) AS cols_ok, CAST(filled AS DOUBLE) AS filled,
+        array_to_string(list_transform(lr[:6], lambda v: v.x), ', ') AS rows_missing, array_to_string(list_transform(lh[:6], lambda v: v.x), ', ') AS cols_missing,
+        concat_ws('; ', CASE WHEN rows_ok < 70 THEN 'rows' END, CASE WHEN cols_ok < 80 THEN 'columns' END, CASE WHEN filled < 70 THEN 'empty values' END, CASE WHEN confidence < 72 THEN 'confidence' END) AS alerts,
+        CASE WHEN rows_ok < 70 OR cols_ok < 80 OR filled < 70 OR coalesce(confidence < 72, false) THEN 'Review' ELSE 'OK' END AS verdict FROM m""")
 def quality_report(r):
-    return review.quality_report(r.sql(QUALITY)).select("target_id", "alerts", "verdict")
+    asked = contracts.contract_manifest(r.targets()).select("target_id", F.col("row_labels").alias("rows"), F.col("col_labels").alias("headers"))
+    beside = r.role("job").select("target_id", "k", (F.col("score") * 100).alias("confidence"), F.when(F.col("k") % 3 == 0, F.col("k") + 1).otherwise(F.col("k")).alias("sk"))
+    judged = beside.join(r.source_tables().select(F.col("k").alias("sk"), "table_id", F.col("series").alias("source_rows"), F.col("categories").alias("source_headers")), "sk").drop("sk")
+    fill = judged.select("target_id", "table_id", (F.size("source_rows") * F.size("source_headers")).alias("n_values")).join(
+        r.role("src_value").groupBy("table_id").agg(F.count("num").alias("n_filled")), "table_id", "left").fillna(0, ["n_filled"]).drop("table_id")
+    measured = review.quality_measures(judged.drop("table_id", "k").join(asked, "target_id"), fill)
+    return review.quality_report(measured).select("target_id", "rows_ok", "cols_ok", "filled", "rows_missing", "cols_missing", "alerts", "verdict")
 
 
 @query("reading_order", "SELECT target_id, block_id, top_in, left_in FROM tgt_head ORDER BY block_id, top_in, left_in, target_id")

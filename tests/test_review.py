@@ -29,3 +29,14 @@ def test_equal_graph_ids_score_fully(spark):
     parts = review.legacy_parts(spark.createDataFrame(rows, schema))
     score = review.legacy_score("header", "row", "variable_part", "opening_part", "metadata", "same_id")
     assert [r.s for r in parts.select(F.round(score, 6).alias("s")).collect()] == [1.0, *[pytest.approx(.44 * (1 + .75 * .75) / 2 + .34, abs=1e-6)] * 2]
+
+
+def test_quality_is_measured(spark):
+    jobs = spark.createDataFrame([
+        ("a", ["Norte", "Região Sul", "", "x y z w"], ["2001", "2002"], ["NORTE", "Sul", None], ["2001"], 90.0), ("b", [], None, ["N"], [], None)],
+        "target_id string, rows array<string>, headers array<string>, source_rows array<string>, source_headers array<string>, confidence double")
+    fill = spark.createDataFrame([("a", 8, 6)], "target_id string, n_values long, n_filled long")
+    found = {r.target_id: r for r in review.quality_report(review.quality_measures(jobs, fill)).collect()}
+    a, b = found["a"], found["b"]
+    assert (a.rows_ok, a.cols_ok, a.filled, a.rows_missing, a.cols_missing) == (66.7, 50.0, 75.0, "x y z w", "2002")
+    assert (a.alerts, a.verdict) == ("rows; columns", "Review") and (b.rows_ok, b.cols_ok, b.filled) == (0.0, 0.0, 0.0)
