@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.scores import coverage, soft_score
 from ..functions.text import norm_label
@@ -161,10 +163,50 @@ def reading_order(targets: DataFrame) -> DataFrame:
 
 def stable_ids(targets: DataFrame) -> DataFrame:
     """An id per contract: a well-formed name only one contract has stays; others
-    are numbered in reading order inside their block."""
+    are numbered in reading order inside their block, past the names that earlier
+    contracts keep.
+
+    Only blocks whose numbers could meet a kept name are numbered one after the other, streamed in order; what is
+    held are the kept names of one block."""
     valid = F.col("shape_name").rlike(r"^S\d{3}_T\d{3}_[A-Z0-9_]+$")
     names = targets.where(valid).groupBy("shape_name").agg(F.count("*").alias("_n"))
-    order = W.partitionBy("block_id").orderBy(F.round("top_in", 3), F.round("left_in", 3), "shape_id", "object_type", "shape_name")
+    order = [F.round("top_in", 3), F.round("left_in", 3), F.col("shape_id"), F.col("object_type"), F.col("shape_name")]
     kind = F.upper(F.regexp_replace(F.regexp_replace("object_type", "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""))
-    made = F.format_string("S%03d_T%03d_%s", F.col("block_id"), F.row_number().over(order), kind)
-    return targets.join(names, "shape_name", "left").withColumn("stable_id", F.when(F.col("_n") == 1, F.col("shape_name")).otherwise(made)).drop("_n")
+    t = targets.join(names, "shape_name", "left").withColumn("_kept", F.coalesce(F.col("_n") == 1, F.lit(False))).withColumn("_kind", kind).drop("_n")
+    block = F.substring("shape_name", 2, 3).try_cast("int")
+    kept = t.where("_kept").where(block >= F.col("block_id")).select("shape_name", F.col("block_id").alias("_own"), block.cast(t.schema["block_id"].dataType).alias("block_id"))
+    met = kept.select("block_id").distinct()
+
+    made = F.format_string("S%03d_T%03d_%s", F.col("block_id"), F.row_number().over(W.partitionBy("block_id").orderBy(*order)), F.col("_kind"))
+    free = t.join(met, "block_id", "left_anti").withColumn("stable_id", F.when(F.col("_kept"), F.col("shape_name")).otherwise(made))
+
+    rows = t.join(met, "block_id", "left_semi").withColumn("_first", F.lit(1))
+    # names kept in earlier blocks come before the rows of the block they look like
+    ahead = kept.where("_own < block_id").drop("_own").withColumn("_first", F.lit(0))
+    stream = rows.unionByName(ahead, allowMissingColumns=True).repartition("block_id").sortWithinPartitions("block_id", "_first", *order)
+    numbered = stream.mapInArrow(_number, StructType([*stream.schema.fields, StructField("stable_id", StringType())]))
+    return free.unionByName(numbered.drop("_first")).drop("_kept", "_kind")
+
+
+def _number(batches):
+    """Rows in order with their ids; rows with ``_first`` 0 only name what is taken."""
+    block, ordinal, taken = None, 0, set()
+    for batch in batches:
+        ids, rows = [], []
+        columns = (batch.column(c).to_pylist() for c in ("block_id", "_first", "_kept", "shape_name", "_kind"))
+        for at, (b, first, kept, name, kind) in enumerate(zip(*columns)):
+            if b != block:
+                block, ordinal, taken = b, 0, set()
+            if first == 0:
+                taken.add(name)
+                continue
+            ordinal += 1
+            if kept:
+                taken.add(name)
+            else:
+                while f"S{b:03d}_T{ordinal:03d}_{kind}" in taken:
+                    ordinal += 1
+            rows.append(at)
+            ids.append(name if kept else f"S{b:03d}_T{ordinal:03d}_{kind}")
+        out = batch.take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(ids, pa.string())], names=[*out.schema.names, "stable_id"])

@@ -186,13 +186,22 @@ def recent_first(r):
     return r.role("users").select("email", "active", "name").orderBy(F.desc("active"), "email")
 
 
-NAMES = """SELECT target_id, block_id, top_in, left_in, shape_id, object_type, CASE WHEN k % 5 = 0 THEN 'S' || lpad(CAST(k % 40 AS {S}), 3, '0') || '_T001_CHART' ELSE shape_name END AS shape_name FROM tgt_head"""
+# some names look like ids of the same or the next block
+NAMES = """SELECT target_id, block_id, top_in, left_in, shape_id, object_type, CASE WHEN k % 5 = 0 THEN 'S' || lpad(CAST((block_id + CASE WHEN k % 15 = 0 THEN 1 ELSE 0 END) % 1000 AS {S}), 3, '0')
+    || '_T00' || (2 + k % 4) || CASE WHEN k % 2 = 0 THEN '_CHART' ELSE '_TABLE' END ELSE shape_name END AS shape_name FROM tgt_head"""
 
 
 @query("stable_ids", f"""
-    WITH n AS ({NAMES.format(S='VARCHAR')}), u AS (SELECT shape_name FROM n WHERE regexp_full_match(shape_name, 'S\\d{{3}}_T\\d{{3}}_[A-Z0-9_]+') GROUP BY shape_name HAVING count(*) = 1)
-    SELECT target_id, CASE WHEN shape_name IN (SELECT shape_name FROM u) THEN shape_name ELSE printf('S%03d_T%03d_', block_id,
-        row_number() OVER (PARTITION BY block_id ORDER BY top_in, left_in, shape_id, object_type, shape_name)) || upper(object_type) END AS stable_id FROM n""")
+    WITH RECURSIVE n AS ({NAMES.format(S='VARCHAR')}), u AS (SELECT shape_name FROM n WHERE regexp_full_match(shape_name, 'S\\d{{3}}_T\\d{{3}}_[A-Z0-9_]+') GROUP BY shape_name HAVING count(*) = 1),
+    q AS (SELECT *, shape_name IN (SELECT shape_name FROM u) AS kept, row_number() OVER (PARTITION BY block_id ORDER BY top_in, left_in, shape_id, object_type, shape_name) AS p FROM n),
+    t AS (SELECT shape_name, CAST(substr(shape_name, 2, 3) AS INT) AS b, block_id AS ob, p AS op FROM q WHERE kept),
+    w AS (SELECT q.target_id, q.block_id, q.p, q.kept, q.shape_name, upper(q.object_type) AS kind, coalesce(list(t.shape_name) FILTER (t.shape_name IS NOT NULL), []) AS taken
+        FROM q LEFT JOIN t ON t.b = q.block_id AND (t.ob < q.block_id OR (t.ob = q.block_id AND t.op < q.p)) GROUP BY ALL),
+    o AS (SELECT block_id, CAST(0 AS BIGINT) AS p, CAST(0 AS BIGINT) AS ordinal, CAST('' AS VARCHAR) AS target_id, CAST('' AS VARCHAR) AS stable_id FROM (SELECT DISTINCT block_id FROM w) b
+        UNION ALL SELECT block_id, p, CAST(nx AS BIGINT), target_id, CASE WHEN kept THEN shape_name ELSE printf('S%03d_T%03d_', block_id, nx) || kind END FROM (
+            SELECT w.*, CASE WHEN kept THEN ordinal + 1 ELSE list_filter(range(ordinal + 1, ordinal + 2 + len(taken)), lambda c: NOT list_contains(taken, printf('S%03d_T%03d_', w.block_id, c) || kind))[1] END AS nx
+            FROM o JOIN w ON w.block_id = o.block_id AND w.p = o.p + 1) s)
+    SELECT target_id, stable_id FROM o WHERE p > 0""")
 def stable_ids(r):
     return review.stable_ids(r.sql(NAMES.format(S="STRING"))).select("target_id", "stable_id")
 

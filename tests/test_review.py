@@ -40,3 +40,15 @@ def test_quality_is_measured(spark):
     a, b = found["a"], found["b"]
     assert (a.rows_ok, a.cols_ok, a.filled, a.rows_missing, a.cols_missing) == (66.7, 50.0, 75.0, "x y z w", "2002")
     assert (a.alerts, a.verdict) == ("rows; columns", "Review") and (b.rows_ok, b.cols_ok, b.filled) == (0.0, 0.0, 0.0)
+
+
+def test_numbers_pass_kept_names(spark):
+    rows = [  # block, top, shape name, id expected
+        (1, 0.0, "a", "S001_T001_CHART"), (1, 1.0, "S002_T002_CHART", "S002_T002_CHART"), (1, 2.0, "S001_T004_CHART", "S001_T004_CHART"), (1, 3.0, "b", "S001_T005_CHART"),
+        (2, 0.0, "c", "S002_T001_CHART"), (2, 1.0, "d", "S002_T003_CHART"), (2, 2.0, "e", "S002_T004_CHART"), (2, 3.0, "S001_T001_CHART", "S001_T001_CHART"),
+        (3, 0.0, "S009_T009_X", "S003_T001_CHART"), (3, 1.0, "S009_T009_X", "S003_T002_CHART"), (4, 0.0, "f", "S004_T001_CHART"), (4, 1.0, "S004_T001_CHART", "S004_T001_CHART"),
+    ]
+    t = spark.createDataFrame(
+        [(b, top, 0.0, i, n, "chart", want) for i, (b, top, n, want) in enumerate(rows)],
+        "block_id int, top_in double, left_in double, shape_id int, shape_name string, object_type string, want string")
+    assert [r.asDict() for r in review.stable_ids(t).where("stable_id <> want").collect()] == []
