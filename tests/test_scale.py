@@ -4,8 +4,13 @@ import pathlib
 
 from pyspark.sql import functions as F
 
+from tabweave.operators import candidates
+from tabweave.queries.roles import Roles
 from tabweave.session import cut_lineage
 
+SF = "/root/testdata/sf0.001"
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -16,3 +21,24 @@ def test_a_table_that_its_encoding_makes_small_is_not_broadcast(spark):
     files = sum(pathlib.Path(f.removeprefix("file:")).stat().st_size for f in kept.inputFiles())
     assert files < 10_000_000  # below Spark's own limit, while the rows take over 100 MB
     assert "BroadcastHashJoin" not in _plan(kept.join(kept.select("k", F.col("label").alias("other")), "k"))
+
+
+def test_roles_read_the_kept_sales(spark):
+    r = Roles(spark, SF)
+    for name in ("src_row", "tgt_col", "sheet_cell"):
+        files = r.role(name).inputFiles()
+        assert files and not any("lineitem" in f for f in files)
+    plain = spark.sql(r._located("SELECT l_partkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS c FROM {lineitem} GROUP BY 1"))
+    assert r.sql("SELECT k, sum(cents) AS c FROM xt GROUP BY k").exceptAll(plain).count() == 0
+
+
+def test_evidence_is_dealt_once_by_the_pair(spark):
+    axes = [("1", ["a b", "c"], ["d"]), ("2", ["c", "e"], ["a b"])]
+    t = spark.createDataFrame([(1, *a) for a in axes], "scope long, t_axes string, cats array<string>, sers array<string>")
+    found = candidates.axis_coverage(t, t.withColumnRenamed("t_axes", "s_axes"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # the rows that hits are counted from carry numbers, no texts
+    counted = next(line for line in plan.splitlines() if "RepartitionByExpression" in line)
+    assert "axes" not in counted and "RepartitionByExpression" in counted
+    got = {(r.t_axes, r.s_axes): (r.cc, r.cs, r.ss, r.sc) for r in found.collect()}
+    assert got == {("1", "1"): (2, 0, 1, 0), ("1", "2"): (1, 1, 0, 0), ("2", "1"): (1, 0, 0, 1), ("2", "2"): (2, 0, 1, 0)}
