@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabweave.operators import candidates
 from tabweave.queries.roles import Roles
-from tabweave.session import cut_lineage
+from tabweave.session import cut_lineage, joined_where_they_lie
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +42,28 @@ def test_evidence_is_dealt_once_by_the_pair(spark):
     assert "axes" not in counted and "RepartitionByExpression" in counted
     got = {(r.t_axes, r.s_axes): (r.cc, r.cs, r.ss, r.sc) for r in found.collect()}
     assert got == {("1", "1"): (2, 0, 1, 0), ("1", "2"): (1, 1, 0, 0), ("2", "1"): (1, 0, 0, 1), ("2", "2"): (2, 0, 1, 0)}
+
+
+def _axes(spark, count):
+    rows = [(i % 3, f"{i:03}", [f"a {i % 5}", f"b{i % 4}", "auto consumo x"], [f"c {i % 7}", "uso proprio compro"]) for i in range(count)]
+    upper = [(scope, key, [c.upper() for c in cats], [s.upper() for s in sers]) for scope, key, cats, sers in rows]
+    return spark.createDataFrame(upper, "scope long, t_axes string, cats array<string>, sers array<string>")
+
+
+def test_pairs_of_axes_are_counted_where_their_cells_lie(spark, monkeypatch):
+    t = _axes(spark, 40)
+    s = t.withColumnRenamed("t_axes", "s_axes")
+    whole = sorted(map(tuple, candidates.axis_coverage(t, s).collect()))
+    monkeypatch.setattr(candidates, "CELL_BITS", 1)  # scopes of many cells
+    assert sorted(map(tuple, candidates.axis_coverage(t, s).collect())) == whole and len(whole) > 500
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = candidates._numbered(t, "t_axes", "t", "t_cell"), candidates._numbered(s, "s_axes", "s", "s_cell")
+        counts = candidates._axis_counts(*numbered)
+        with joined_where_they_lie(spark):
+            exchanges = [line for line in _plan(counts).splitlines() if "Exchange" in line]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # three sides are dealt by cells, two of them after they met their cells; no pair is moved after that
+    assert len(exchanges) == 7 and sum("REPARTITION_BY_NUM" in line for line in exchanges) == 3
