@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabweave.operators import candidates
 from tabweave.queries.roles import Roles
-from tabweave.session import cut_lineage, joined_where_they_lie
+from tabweave.session import BYTES_OF_A_TASK, cut_lineage, joined_where_they_lie, prepare
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,6 +23,20 @@ def test_a_table_that_its_encoding_makes_small_is_not_broadcast(spark):
     assert "BroadcastHashJoin" not in _plan(kept.join(kept.select("k", F.col("label").alias("other")), "k"))
 
 
+def test_a_task_gets_a_bounded_part_of_files_and_shuffles(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for given, kept in (("128MB", f"{BYTES_OF_A_TASK}b"), ("134217728b", f"{BYTES_OF_A_TASK}b"), ("16k", "16k"), ("4194304", "4194304")):
+            for n in names:
+                spark.conf.set(n, given)
+            prepare(spark)
+            assert [spark.conf.get(n) for n in names] == [kept, kept]
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+
+
 def test_roles_read_the_kept_sales(spark):
     r = Roles(spark, SF)
     for name in ("src_row", "tgt_col", "sheet_cell"):
