@@ -2,10 +2,12 @@
 
 import pathlib
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tabweave.operators import candidates
-from tabweave.queries.roles import Roles
+from tabweave.queries.roles import SPARK_ROLES, TABLES, Roles, duck_sql
 from tabweave.session import BYTES_OF_A_TASK, cut_lineage, joined_where_they_lie, prepare
 
 SF = "/root/testdata/sf0.001"
@@ -46,6 +48,24 @@ def test_roles_read_the_kept_sales(spark):
     assert r.sql("SELECT k, sum(cents) AS c FROM xt GROUP BY k").exceptAll(plain).count() == 0
 
 
+def test_axes_are_read_from_the_kept_cells_without_a_shuffle(spark):
+    r = Roles(spark, SF)
+    for name in ("src_row", "src_col", "tgt_row", "tgt_col"):
+        assert "Exchange" not in _plan(r.role(name))
+    # the values need their sheet's name, no axis
+    assert _plan(r.role("src_value")).count("Join") == _plan(r.role("src_head")).count("Join") + 1
+
+
+@pytest.mark.parametrize("name", [n for n in SPARK_ROLES if n != "src_cell"])
+def test_roles_of_their_own_text_have_the_rows_of_the_sql(spark, name):
+    rows = Roles(spark, SF).role(name)
+    with duckdb.connect() as db:
+        for t in TABLES:
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        want = db.sql(f"SELECT {', '.join(rows.columns)} FROM ({duck_sql(f'SELECT * FROM {name}')})").fetchall()
+    assert want and sorted(map(str, map(tuple, rows.collect()))) == sorted(map(str, want))
+
+
 def test_evidence_is_dealt_once_by_the_pair(spark):
     axes = [("1", ["a b", "c"], ["d"]), ("2", ["c", "e"], ["a b"])]
     t = spark.createDataFrame([(1, *a) for a in axes], "scope long, t_axes string, cats array<string>, sers array<string>")
