@@ -1,5 +1,8 @@
 """The parts of the legacy score, one by one."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +26,45 @@ def test_legacy_parts(spark, change, part, expected):
     assert got == pytest.approx(expected)
 
 
+def _legacy(a, b):
+    x, y = a.replace(" ", ""), b.replace(" ", "")
+    if not a or not b:
+        return 0.0
+    if x == y:
+        return 1.0
+    if len(x) > 2 and len(y) > 2 and (x in y or y in x):
+        return .92
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        row, last = [i], row
+        for j, d in enumerate(y, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (c != d)))
+    p, q = set(a.split()), set(b.split())
+    return max(len(p & q) / max(len(p), len(q)), .75 * (1 - row[-1] / max(len(x), len(y))))
+
+
+def test_legacy_labels_score_as_the_plain_rule(spark):
+    rng = random.Random(3)
+    label = lambda: " ".join("".join(rng.choice("ABC") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 3)))
+    rows = [tuple((BASE | {"rows": [label() for _ in range(rng.randint(0, 6))], "source_rows": [label() for _ in range(rng.randint(0, 5))], "variable": label(), "question": label()}).values())
+            for _ in range(300)]
+    schema = ", ".join(f"{k} {'array<string>' if isinstance(v, list) else 'string'}" for k, v in BASE.items())
+    for r in review.legacy_parts(spark.createDataFrame(rows, schema)).select("rows", "source_rows", "variable", "question", "row", "variable_part").collect():
+        asked = [v for v in r.rows if v]
+        want = sum(max((_legacy(v, c) for c in r.source_rows), default=0.0) for v in asked) / len(asked) if asked else 0.0
+        assert r.row == pytest.approx(want) and r.variable_part == pytest.approx(_legacy(r.variable, r.question))
+
+
+def test_labels_of_an_axis_are_normalized_once(spark):
+    labels = [f"Região {i} +{i % 7}" for i in range(1500)]
+    schema = ", ".join(f"{k} {'array<string>' if isinstance(v, list) else 'string'}" for k, v in BASE.items())
+    row = lambda own: tuple((BASE | {"rows": own, "source_rows": own[::-1]}).values())
+    review.legacy_parts(spark.createDataFrame([row(labels[:2])], schema)).select("row").collect()
+    start = time.monotonic()
+    assert review.legacy_parts(spark.createDataFrame([row(labels)], schema)).select("row").first()[0] == 1.0
+    assert time.monotonic() - start < 5
+
+
 def test_equal_graph_ids_score_fully(spark):
     schema = ", ".join(f"{k} {'array<string>' if isinstance(v, list) else 'string'}" for k, v in BASE.items())
     rows = [tuple((BASE | {"graph_id": g, "source_graph_id": s}).values()) for g, s in (("7", "7"), ("", ""), ("7", "8"))]
