@@ -85,3 +85,16 @@ def test_axis_of_100000_labels(spark):
     assert shown[0] == f"Client {n - 1:06d}" and shown[-1] == "Branch 1"
     assert rows.filter(pa.array(["(old)" in x for x in rows.column("label").to_pylist()])).num_rows == 4
     assert aligned.modes.first()["mode"] == "same"
+
+
+def test_words_of_a_choice_are_split_once():
+    class Key(str):
+        splits = 0
+
+        def split(self, *args):
+            self.splits += 1
+            return super().split(*args)
+
+    keys = [Key(f"NATION {i} OF {i % 3}") for i in range(20)]
+    choices = labels.Choices(list(keys), keys)
+    assert choices.take([f"REGION {i} OF {i % 3}" for i in range(30)])[:3] == [0, 1, 2] and {k.splits for k in keys} == {1}
