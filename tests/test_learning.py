@@ -146,3 +146,43 @@ def test_source_candidates_equal_all_pairs(spark):
     got = {(r.entry_ix, r.table_id): r.score for r in found.collect()}
     every = {(e[0], s[0]): (jaccard(set(e[3]), set(s[3])) + jaccard(set(e[4]), set(s[4]))) / 2 for e in entries for s in sources}
     assert got == {p: w for p, w in every.items() if w >= 0.6} and got
+
+
+def test_best_sources_equal_the_first_of_all_pairs(spark):
+    """By name, by signature and by labels, with several sources of equal names, signatures and labels, and ties of the score."""
+    rng = random.Random(9)
+    labels = [f"L{i}" for i in range(6)]
+    pick = lambda: rng.sample(labels, rng.randint(0, 5))
+    entries = [(i, rng.choice(["", f"t{i % 9}", "gone"]), rng.choice(["", "none", f"s{i % 7}"]), pick(), pick()) for i in range(60)]
+    sources = [(f"{d}/T{i % 12}", 100 - i, f"s{i % 5}", pick(), pick()) for i, d in enumerate("abcdefghij" * 4)]
+    frames = (spark.createDataFrame(entries, "entry_ix long, basename string, signature string, cats array<string>, sers array<string>"),
+              spark.createDataFrame(sources, "table_id string, table_ix long, signature string, cats array<string>, sers array<string>"))
+    order = lambda r: (r.step, -round(r.score, 9), r.table_ix)
+    want = {}
+    for r in sorted(learning.source_candidates(*frames).collect(), key=order):
+        want.setdefault(r.entry_ix, (r.table_id, r.step, round(r.score, 9)))
+    got = learning.source_candidates(*frames, best=True).collect()
+    assert {r.entry_ix: (r.table_id, r.step, r.score) for r in got} == want and len(got) == len(want)
+    assert {step for _, step, _ in want.values()} == {0, 1, 2}
+
+
+def test_entries_meet_the_sources_of_all_blocks(spark, monkeypatch):
+    """A sheet that only another block has is found by its labels."""
+    from tabweave.queries import joining
+
+    tables = [(k, f"sales/t{k}.xlsx#Data", k, 1 + k // 6, [f"Y{i}" for i in range(4)], [f"N{i}" for i in range(9 + k // 6)]) for k in (1, 20)]
+
+    class Given:
+        def source_tables(self):
+            return spark.createDataFrame(tables, "k long, table_id string, table_ix long, block_id int, categories array<string>, series array<string>")
+
+        def targets(self):
+            return spark.createDataFrame([(1, "T1", "chart", ["A"], ["B"])], "k long, target_id string, object_type string, categories array<string>, series array<string>")
+
+        def role(self, name):
+            return spark.createDataFrame([(1, "T1", "x", "gone.xlsx")], "entry_ix long, entry_id string, alias string, basename string")
+
+    # the entry's own sheet has gone
+    full = joining.with_renamed
+    monkeypatch.setattr(joining, "with_renamed", lambda src: full(src).where("k <> 1"))
+    assert [tuple(r) for r in joining.cascade_join(Given()).collect()] == [(1, "sales/t20.xlsx#Data", 2)]
