@@ -186,3 +186,18 @@ def test_entries_meet_the_sources_of_all_blocks(spark, monkeypatch):
     full = joining.with_renamed
     monkeypatch.setattr(joining, "with_renamed", lambda src: full(src).where("k <> 1"))
     assert [tuple(r) for r in joining.cascade_join(Given()).collect()] == [(1, "sales/t20.xlsx#Data", 2)]
+
+
+def test_pairs_of_sets_move_as_numbers(spark, monkeypatch):
+    """Labels are sent to cells of sets; pairs and scores are numbers, whatever the size of a cell."""
+    rng = random.Random(10)
+    pick = lambda: rng.sample([f"L{i}" for i in range(9)], rng.randint(0, 6))
+    entries = spark.createDataFrame([(i, "", "", pick(), pick()) for i in range(50)], "entry_ix long, basename string, signature string, cats array<string>, sers array<string>")
+    sources = spark.createDataFrame([(f"t{i}", i, "s", pick(), pick()) for i in range(50)], "table_id string, table_ix long, signature string, cats array<string>, sers array<string>")
+    kept, cut = {}, learning.cut_lineage
+    monkeypatch.setattr(learning, "cut_lineage", lambda df, name="step": kept.setdefault(name, cut(df, name)))
+    whole = sorted(map(tuple, learning.source_candidates(entries, sources).collect()))
+    assert {t for name in ("near-sets", "set-scores") for _, t in kept[name].dtypes} == {"bigint", "double"}
+    kept.clear()
+    monkeypatch.setattr(learning, "SET_BITS", 1)
+    assert sorted(map(tuple, learning.source_candidates(entries, sources).collect())) == whole and whole
