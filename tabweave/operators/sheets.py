@@ -74,9 +74,11 @@ def read_sheets(cells: DataFrame, sheets: DataFrame | None = None) -> SheetTable
     Blank borders are cut off.  A sheet with a header row becomes one of three orientations: a single row of periods, series in rows under periods, or
     categories in rows; rows without a name get a numbered stand-in.  A sheet without a header is read as names with values, else it is 'unknown';
     a sheet without any filled cell is 'empty'.  ``sheets`` names sheets that may have no cells at all."""
-    trimmed = cut_lineage(grid.trim_grid(cells.select("table_id", "row_ix", "col_ix", "raw", "num", "fmt")), "sheet-cells")
+    cells = cut_lineage(cells.select("table_id", "row_ix", "col_ix", "raw", "num", "fmt"), "loose-cells")
+    # texts and numbers are read once, for all stages
+    trimmed = cut_lineage(grid.typed(grid.trim_grid(cells)).drop("raw", "num"), "sheet-cells")
     ranges = trimmed.select("table_id", "r0", "c0", "r1", "c1").distinct()
-    own = trimmed.select("table_id", "row_ix", "col_ix", "raw", "num", "fmt")
+    own = trimmed.drop("r0", "c0", "r1", "c1")
     headers = cut_lineage(grid.header_row(own), "headers")
     stages = [_with_header(own, headers), _names_with_values(own.join(headers.select("table_id"), "table_id", "left_anti"))]
     kinds, labels, values = (a.unionByName(b) for a, b in zip(*stages, strict=True))
