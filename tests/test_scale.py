@@ -101,3 +101,41 @@ def test_pairs_of_axes_are_counted_where_their_cells_lie(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     # three sides are dealt by cells, two of them after they met their cells; no pair is moved after that
     assert len(exchanges) == 7 and sum("REPARTITION_BY_NUM" in line for line in exchanges) == 3
+
+
+def test_heads_read_the_kept_parts(spark):
+    """Which parts have a sale is found once, not for each role."""
+    r = Roles(spark, SF)
+    for name in ("src_head", "tgt_head", "learned", "job"):
+        assert not any("lineitem" in f for f in r.role(name).inputFiles())
+
+
+def test_names_are_split_only_where_their_counts_allow(spark):
+    from tabweave.operators import similarity
+
+    rows = [(1, "A B C"), (1, "A"), (1, "A X Y Z U V W"), (1, "NAO COMPRO USO PROPRIO")]
+    left, right = spark.createDataFrame(rows, "k int, l string"), spark.createDataFrame([*rows, (1, "AUTO CONSUMO Q S T D F")], "k int, r string")
+    found = similarity.similar_pairs(left, right, 0.55, ["k"])
+    assert "_nl" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.l, r.r): r.score for r in found.collect()}
+    assert got[("A", "A X Y Z U V W")] == 0.9 and got[("NAO COMPRO USO PROPRIO", "AUTO CONSUMO Q S T D F")] == 0.9 and ("A B C", "A X Y Z U V W") not in got
+
+
+def test_headers_and_not_cells_are_repeated(spark):
+    from tabweave.operators import grid
+
+    cells = spark.createDataFrame([("t", 0, 0, "2020", None, "General")], "table_id string, row_ix int, col_ix int, raw string, num double, fmt string")
+    known = grid.typed(cells)
+    assert grid.typed(known) is known
+    plan = grid.header_row(known)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "n_header" in plan[plan.index("Generate explode"):]
+
+
+def test_keys_are_split_once_for_all_contracts():
+    from tabweave.operators import labels
+
+    keys = [f"ONLY {i} HERE" for i in range(20)]
+    labels._split.cache_clear()
+    for _ in range(5):
+        assert labels.Choices(keys, keys).take(["HERE 3 ONLY", "ONLY 7"]) == [3, 7]
+    assert labels._split.cache_info().misses == 22
